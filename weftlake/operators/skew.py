@@ -17,31 +17,31 @@ from pyspark.sql import functions as F
 HOT_SHARE = 1000
 
 
-def key_sizes(rows: DataFrame, key: str) -> DataFrame:
-    """Rows per key ``(key, n)``; null keys are left out."""
-    return rows.where(F.col(key).isNotNull()).groupBy(key).agg(F.count(F.lit(1)).alias("n"))
+def key_sizes(rows: DataFrame, *keys: str) -> DataFrame:
+    """Rows per key: the keys and ``n``; null keys are left out."""
+    return rows.dropna(subset=list(keys)).groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
 
 
-def hot_keys(sizes: DataFrame, key: str, share: int = HOT_SHARE) -> DataFrame:
-    """Keys of ``sizes (key, n)`` with more than one in ``share`` of all rows.
+def hot_keys(sizes: DataFrame, share: int = HOT_SHARE) -> DataFrame:
+    """Keys of ``sizes (..., n)`` with more than one in ``share`` of all rows.
 
     At most ``share - 1`` keys can be, so the result may be broadcast always.
     """
     total = sizes.agg(F.sum("n")).scalar()
-    return sizes.where(F.col("n") * share > total)
+    return sizes.where(F.col("n") * share > total).drop("n")
 
 
-def join_by_key(rows: DataFrame, stats: DataFrame, sizes: DataFrame, key: str) -> DataFrame:
-    """Inner join of many ``rows`` with one row of ``stats`` per ``key``, without skew.
+def join_by_key(rows: DataFrame, stats: DataFrame, sizes: DataFrame, *keys: str) -> DataFrame:
+    """Inner join of many ``rows`` with one row of ``stats`` per key, without skew.
 
-    Rows of hot keys meet their statistics by broadcast, all others by a
-    shuffled join in which no key holds more than one in ``HOT_SHARE`` rows.
-    Null keys match nothing.
+    ``sizes`` has the keys and ``n``, how many ``rows`` each has.  Rows of hot
+    keys meet their statistics by broadcast, all others by a join in which no
+    key holds more than one in ``HOT_SHARE`` rows.  Null keys match nothing.
     """
-    hot = F.broadcast(hot_keys(sizes, key).select(key))
-    hot_stats = F.broadcast(stats.join(hot, key, "left_semi"))
-    few = rows.join(hot_stats, key)
-    rest = rows.join(hot, key, "left_anti").join(stats, key)
+    on = list(keys)
+    hot = F.broadcast(hot_keys(sizes).select(on))
+    few = rows.join(F.broadcast(stats.join(hot, on, "left_semi")), on)
+    rest = rows.join(hot, on, "left_anti").join(stats, on)
     return few.unionByName(rest)
 
 

@@ -20,6 +20,7 @@ def local_session(name: str = "weftlake", cores: int | str = "*", **conf: str) -
         "spark.sql.shuffle.partitions": "8",
         "spark.sql.execution.arrow.pyspark.enabled": "true",
         "spark.ui.enabled": "false",
+        "spark.ui.showConsoleProgress": "false",
         "spark.driver.memory": os.environ.get("WEFTLAKE_DRIVER_MEMORY", "8g"),
     } | conf
     builder = SparkSession.builder.master(f"local[{cores}]").appName(name).config(map=settings)
