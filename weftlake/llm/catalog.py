@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import p2_mainbody
+from . import p2_mainbody, p6_lines
 
-_MODULES = (p2_mainbody,)
+_MODULES = (p2_mainbody, p6_lines)
 
 
 def queries() -> dict:
