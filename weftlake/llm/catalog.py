@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import p2_mainbody, p6_lines
+from . import p1_forest, p2_mainbody, p6_lines
 
-_MODULES = (p2_mainbody, p6_lines)
+_MODULES = (p1_forest, p2_mainbody, p6_lines)
 
 
 def queries() -> dict:
