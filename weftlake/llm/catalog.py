@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import p1_forest, p2_mainbody, p6_lines, p8_tokens
+from . import p1_forest, p2_mainbody, p6_lines, p8_tokens, p10_garbled
 
-_MODULES = (p1_forest, p2_mainbody, p6_lines, p8_tokens)
+_MODULES = (p1_forest, p2_mainbody, p6_lines, p8_tokens, p10_garbled)
 
 
 def queries() -> dict:
