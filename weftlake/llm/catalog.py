@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import p1_forest, p2_mainbody, p3_terms, p6_lines, p8_tokens, p9_leaks, p10_garbled
+from . import p1_forest, p2_mainbody, p3_terms, p5_language, p6_lines, p8_tokens, p9_leaks, p10_garbled
 
-_MODULES = (p1_forest, p2_mainbody, p3_terms, p6_lines, p8_tokens, p9_leaks, p10_garbled)
+_MODULES = (p1_forest, p2_mainbody, p3_terms, p5_language, p6_lines, p8_tokens, p9_leaks, p10_garbled)
 
 
 def queries() -> dict:
