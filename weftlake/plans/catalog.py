@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import hot
+from . import hot, indexes
 
-_MODULES = (hot,)
+_MODULES = (hot, indexes)
 
 
 def queries() -> dict:
