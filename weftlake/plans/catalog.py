@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import hot, indexes
+from . import datasets, hot, indexes, scalars
 
-_MODULES = (hot, indexes)
+_MODULES = (hot, datasets, scalars, indexes)
 
 
 def queries() -> dict:
