@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import datasets, hot, indexes, scalars
+from . import datasets, hot, indexes, quality, scalars, tables
 
-_MODULES = (hot, datasets, scalars, indexes)
+_MODULES = (hot, datasets, tables, scalars, indexes, quality)
 
 
 def queries() -> dict:
