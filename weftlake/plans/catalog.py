@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import datasets, hot, indexes, quality, scalars, tables
+from . import crawl, datasets, hot, indexes, pagerank, quality, scalars, search, tables
 
-_MODULES = (hot, datasets, tables, scalars, indexes, quality)
+_MODULES = (hot, datasets, tables, scalars, indexes, quality, pagerank, search, crawl)
 
 
 def queries() -> dict:
