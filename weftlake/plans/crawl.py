@@ -113,7 +113,7 @@ select url, min(round)::int as round, url in (select url from e) as found from v
     "crawl_frontier_round": "with " + _E + " select distinct target as url from e where url in ('s1', 's2') and target not in ('s1', 's2')",
     "crawl_pending": """select distinct url from (select unnest(urls) as url from pt_url_index) where url is not null
   and url not in (select url from pt_crawl where url is not null and octet_length(page) > 0)""",
-    "crawl_waits": r"""with p as (select lower(regexp_replace(regexp_extract(url, '(?s)^.*?.//([^/]*)', 1), ':.*$', '')) as host, url || ' ' || crawl_id as url, epoch_ms(fetched_at) as at
+    "crawl_waits": r"""with p as (select lower(regexp_replace(regexp_extract(url, '(?s)^.*?.//([^/]*)', 1), ':.*$', '')) as host, url || ' ' || crawl_id as url, epoch_ms(fetched_at) as ms
   from pt_crawl where url is not null and fetched_at is not null)
-select host, url, coalesce(greatest(0, 3600000 - (at - lag(at) over (partition by host order by at, url))), 0)::bigint as wait_ms from p""",
+select host, url, coalesce(greatest(0, 3600000 - (ms - lag(ms) over (partition by host order by ms, url))), 0)::bigint as wait_ms from p""",
 }
