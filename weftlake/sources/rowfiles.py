@@ -52,12 +52,17 @@ def serialize_row(key: str, cells: dict[str, bytes]) -> bytes:
 
 
 def read_row_files(spark: SparkSession, folder: str) -> DataFrame:
-    """All rows under a folder, at any depth: ``key string, cols map<string, binary>``.
+    """All rows of a folder and its sub-folders ``__xy``: ``key string, cols map<string, binary>``.
 
-    Files that are no rows are left out; files are read in parallel.
+    Files that are no rows are left out, and so are those whose name begins
+    with ``_``, which Spark takes for hidden.  Sub-folders, of which there are
+    as many as pairs of characters, are named one by one, as Spark would take
+    these for hidden, too.  Files are read in parallel.
     """
     ship_package(spark)
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder)
+    pattern = spark._jvm.org.apache.hadoop.fs.Path(f"{folder.rstrip('/')}/__*")
+    found = pattern.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(pattern) or ()
+    files = spark.read.format("binaryFile").load([folder, *(s.getPath().toString() for s in found if s.isDirectory())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
