@@ -31,15 +31,19 @@ def hot_keys(sizes: DataFrame, share: int = HOT_SHARE) -> DataFrame:
     return sizes.where(F.col("n") * share > total).drop("n")
 
 
-def join_by_key(rows: DataFrame, stats: DataFrame, sizes: DataFrame, *keys: str) -> DataFrame:
+def join_by_key(
+    rows: DataFrame, stats: DataFrame, sizes: DataFrame | None, *keys: str, hot: DataFrame | None = None
+) -> DataFrame:
     """Inner join of many ``rows`` with one row of ``stats`` per key, without skew.
 
     ``sizes`` has the keys and ``n``, how many ``rows`` each has.  Rows of hot
     keys meet their statistics by broadcast, all others by a join in which no
     key holds more than one in ``HOT_SHARE`` rows.  Null keys match nothing.
+    Where the same rows are joined again and again, ``hot``, the result of
+    :func:`hot_keys`, is given in place of ``sizes``.
     """
     on = list(keys)
-    hot = F.broadcast(hot_keys(sizes).select(on))
+    hot = F.broadcast((hot_keys(sizes) if hot is None else hot).select(on))
     few = rows.join(F.broadcast(stats.join(hot, on, "left_semi")), on)
     rest = rows.join(hot, on, "left_anti").join(stats, on)
     return few.unionByName(rest)

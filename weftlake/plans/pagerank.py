@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import html as H
 from ..functions import urls as U
-from ..operators.skew import join_by_key
+from ..operators.skew import hot_keys, join_by_key
 from ..session import cut_lineage
 from ..sources.tables import table
 
@@ -51,14 +51,14 @@ def pagerank(
         return hosts.select("host", F.lit(0.0).alias("rank"))
     edges = cut_lineage(edges.join(hosts.withColumnRenamed("host", "src"), "src", "left_semi"))
     degree = edges.groupBy("src").agg(F.count(F.lit(1)).alias("n"))
+    hot = cut_lineage(hot_keys(degree))
     nodes = cut_lineage(hosts.join(degree, hosts.host == degree.src, "left").select("host", F.coalesce("n", F.lit(0)).alias("n")))
     ranks = nodes.select("host", F.lit(1.0 / n).alias("rank"))
     for step in range(rounds):
         state = nodes.join(ranks, "host")
         lost = state.where("n = 0").agg(F.coalesce(F.sum(F.col("rank").cast(_EXACT)), F.lit(0)).cast("double").alias("d"))
         send = state.where("n > 0").select(F.col("host").alias("src"), (F.col("rank") / F.col("n")).cast(_EXACT).alias("part"))
-        sizes = nodes.where("n > 0").select(F.col("host").alias("src"), "n")
-        parts = join_by_key(edges, send, sizes, "src").select(F.col("dst").alias("host"), "part")
+        parts = join_by_key(edges, send, None, "src", hot=hot).select(F.col("dst").alias("host"), "part")
         incoming = parts.union(nodes.select("host", F.lit(0).cast(_EXACT))).groupBy("host").agg(F.sum("part").cast("double").alias("got"))
         base = (1 - damping) / n
         new = cut_lineage(
