@@ -51,7 +51,7 @@ def join_by_key(
 
 def counted_token(token: str | Column = "token") -> Column:
     """A token as it counts: lower case, no blanks around it, null when nothing is left."""
-    text = F.lower(F.regexp_replace(F.col(token) if isinstance(token, str) else token, r"^\s+|\s+$", ""))
+    text = F.lower(F.btrim(F.col(token) if isinstance(token, str) else token, F.lit(" \t\n\x0b\f\r")))
     return F.when(text != "", text)
 
 
