@@ -15,10 +15,12 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..session import ship_package
+from ..session import cut_lineage, ship_package
 
 #: Elements of one key that a fold gathers at a time.
 FOLD_CHUNK = 10_000
+#: Keys of a sample that may be broadcast.
+BROADCAST_ROWS = 1_000_000
 
 
 class Opaque:
@@ -278,27 +280,23 @@ class Output:
 
 
 def systematic_sample(df: DataFrame, order: str, size: int) -> DataFrame:
-    """Every so many-th row by ``order``, ``size`` rows at most; all rows for a size of 0 or of all rows.
+    """Every so many-th row by the unique column ``order``, ``size`` rows at most; all rows for a size of 0 or of all rows.
 
-    Rows are numbered by range partitions: counts per partition give each
-    partition's first number, so no task sees all rows.
+    Only that column is sorted.  Its values are numbered by range partitions:
+    counts per partition give each partition's first number, so no task sees
+    them all.
     """
     total = df.count()
     if size <= 0 or size >= total:
         return df
     step = max(1, total // size)
-    ordered = df.repartitionByRange(F.col(order)).sortWithinPartitions(order).withColumn("_p", F.spark_partition_id())
-    from ..session import cut_lineage
-
-    ordered = cut_lineage(ordered.withColumn("_i", F.monotonically_increasing_id() - F.shiftleft(F.col("_p").cast("bigint"), 33)))
+    part, index = F.spark_partition_id().alias("_p"), F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1).alias("_i")
+    keys = cut_lineage(df.select(order).repartitionByRange(F.col(order)).sortWithinPartitions(order).select(order, part, index))
     starts, n = [], 0
-    for p, rows in sorted((r["_p"], r["count"]) for r in ordered.groupBy("_p").count().collect()):
+    for p, rows in sorted((r["_p"], r["count"]) for r in keys.groupBy("_p").count().collect()):
         starts.append((p, n))
         n += rows
     first = df.sparkSession.createDataFrame(starts, "_p int, _first bigint")
     number = F.col("_first") + F.col("_i")
-    return (
-        ordered.join(F.broadcast(first), "_p")  # one row for each partition
-        .where((number % step == 0) & (number < F.lit(step) * size))
-        .drop("_p", "_i", "_first")
-    )
+    chosen = keys.join(F.broadcast(first), "_p").where((number % step == 0) & (number < F.lit(step) * size)).select(order)
+    return df.join(F.broadcast(chosen) if size <= BROADCAST_ROWS else chosen, order, "left_semi")

@@ -9,6 +9,7 @@ from ..functions import html as H
 from ..functions import text as T
 from ..functions import urls as U
 from ..operators.skew import counted_token, join_by_key
+from ..session import cut_lineage
 from ..sources.tables import table
 
 #: Postings of one row of an index; a token with more has several parts.
@@ -20,18 +21,25 @@ def postings(rows: DataFrame, tokens: Column, url: str = "url") -> DataFrame:
     return rows.select(F.explode(tokens).alias("token"), F.col(url).alias("url")).dropna().distinct()
 
 
+def with_parts(pairs: DataFrame) -> DataFrame:
+    """Distinct pairs ``token, url, …`` with ``part``, which spreads a token's urls over parts of bounded size.
+
+    Tokens with few postings have the part 0 only.  Counts meet the pairs by a
+    join that a frequent token cannot hold up.
+    """
+    pairs = cut_lineage(pairs)  # read several times below
+    sizes = pairs.groupBy("token").agg(F.count(F.lit(1)).alias("n"))
+    parts = sizes.select("token", F.ceil(F.col("n") / MAX_POSTINGS).alias("_parts"))
+    spread = join_by_key(pairs, parts, sizes, "token")
+    return spread.withColumn("part", F.pmod(F.xxhash64("url"), F.col("_parts")).cast("bigint")).drop("_parts")
+
+
 def inverted(pairs: DataFrame) -> DataFrame:
     """Index rows ``token, part, urls`` (sorted) of distinct pairs.
 
-    A token's postings are spread by url over as many parts as keep each small,
-    so that no row and no task holds all postings of a frequent token.
+    No row and no task holds all postings of a frequent token.
     """
-    sizes = pairs.groupBy("token").agg(F.count(F.lit(1)).alias("n"))
-    many = sizes.where(F.col("n") > MAX_POSTINGS).select("token", F.ceil(F.col("n") / MAX_POSTINGS).alias("parts"))
-    spread = pairs.join(many, "token", "left").withColumn(
-        "part", F.coalesce(F.pmod(F.xxhash64("url"), F.col("parts")), F.lit(0)).cast("bigint")
-    )
-    return spread.groupBy("token", "part").agg(F.array_sort(F.collect_list("url")).alias("urls"))
+    return with_parts(pairs).groupBy("token", "part").agg(F.array_sort(F.collect_list("url")).alias("urls"))
 
 
 def document_frequency(pairs: DataFrame) -> DataFrame:
@@ -67,11 +75,11 @@ def anchor_positions(crawl: DataFrame) -> DataFrame:
 
 
 def anchor_index(crawl: DataFrame) -> DataFrame:
-    """``token, targets``: targets as ``url:positions``, those with most positions first."""
-    rows = anchor_positions(crawl).withColumn("n", F.size("positions"))
+    """``token, part, targets``: targets as ``url:positions``, those with most positions first."""
+    rows = with_parts(anchor_positions(crawl)).withColumn("n", F.size("positions"))
     entry = F.concat_ws(":", "url", F.array_join(F.transform("positions", lambda p: p.cast("string")), " "))
     listed = F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("n"), F.col("url").alias("url"), entry.alias("entry"))))
-    return rows.groupBy("token").agg(F.array_join(F.transform(listed, lambda e: e["entry"]), ",").alias("targets"))
+    return rows.groupBy("token", "part").agg(F.array_join(F.transform(listed, lambda e: e["entry"]), ",").alias("targets"))
 
 
 def _joined(index: DataFrame) -> DataFrame:
@@ -166,7 +174,7 @@ m as (select trim(regexp_extract(a, '(?i)^<a\s+[^>]*href\s*=\s*"([^"]+)"', 1)) a
           lambda t: regexp_matches(t, '^[a-z][a-z0-9]*$') and length(t) <= 30) as w from l),
 n as (select distinct url, w[i] as token, i from (select url, w, unnest(range(1, len(w) + 1)) as i from m)),
 g as (select token, url, count(*) as c, string_agg(i::varchar, ' ' order by i) as pos from n group by token, url)
-select token, string_agg(url || ':' || pos, ',' order by c desc, url) as targets from g group by token
+select token, 0::bigint as part, string_agg(url || ':' || pos, ',' order by c desc, url) as targets from g group by token
 """
 QUERIES = {
     "title_index": title_index,

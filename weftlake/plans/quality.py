@@ -57,12 +57,21 @@ def types(rows: DataFrame) -> DataFrame:
 
 
 def upper_median(rows: DataFrame, value: str) -> DataFrame:
-    """The middle value in order, of two the upper: ``median``; found by rank over range partitions' counts."""
-    values = rows.where(F.col(value).isNotNull()).groupBy(value).agg(F.count(F.lit(1)).alias("n"))
-    upto = F.sum("n").over(Window.orderBy(value))  # one row for each distinct size, not for each page
-    total = values.agg(F.sum("n")).scalar()
-    ranked = values.withColumn("_upto", upto)
-    return ranked.where(F.col("_upto") > F.floor(total / 2)).agg(F.min(value).alias("median"))
+    """The middle of a column of ints in order, of two the upper: one row ``median``, null without values.
+
+    Values are counted by stretches of 4,096, of which the type allows a
+    million; only those of the stretch that holds the middle are then ranked.
+    """
+    known = rows.where(F.col(value).isNotNull()).select(F.col(value).alias("median"), F.shiftright(value, 12).alias("_to"))
+    counts = known.groupBy("_to").agg(F.count(F.lit(1)).alias("n"))
+    before = F.sum("n").over(Window.orderBy("_to")) - F.col("n")
+    middle = counts.agg(F.floor(F.sum("n") / 2)).scalar()
+    hit = counts.withColumn("_before", before).where((F.col("_before") <= middle) & (F.col("_before") + F.col("n") > middle)).first()
+    if hit is None:
+        return known.agg(F.max("median").alias("median"))
+    near = known.where(F.col("_to") == hit["_to"]).groupBy("median").agg(F.count(F.lit(1)).alias("n"))
+    upto = F.sum("n").over(Window.orderBy("median")) + hit["_before"]
+    return near.withColumn("_upto", upto).where(F.col("_upto") > middle).agg(F.min("median").alias("median"))
 
 
 def sizes(rows: DataFrame) -> DataFrame:
