@@ -43,6 +43,17 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """``df``, in as many partitions as there are cores where a scan of few files has fewer.
+
+    Only for scans and what is narrow upon them, as looking at the partitions
+    of others would run their shuffles.  Inputs of many splits are left as
+    they are, so nothing is shuffled where it would cost much.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def ship_package(spark: SparkSession) -> None:
     """Make this package importable in Python workers, once per application."""
     sc = spark.sparkContext
