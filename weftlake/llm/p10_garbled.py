@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import ship_package
+from ..session import ship_package, spread
 from ..sources.tables import table
 
 #: Clean labelled texts that the character model is trained on at most.
@@ -332,7 +332,7 @@ def garbled(documents: DataFrame, model: CharacterModel) -> DataFrame:
             )
 
     rows = documents.select("doc_id", "text").where(F.col("doc_id").isNotNull() & F.col("text").rlike("[^\\x00-\\x7f]"))
-    return rows.mapInArrow(run, "doc_id bigint, restored string, pairs array<string>")
+    return spread(rows).mapInArrow(run, "doc_id bigint, restored string, pairs array<string>")
 
 
 def p10_restored(spark, sf):

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import ship_package
+from ..session import ship_package, spread
 from ..sources.tables import table
 from .bytecnn import ByteCnn
 from .pages import declared_language
@@ -96,7 +96,7 @@ def block_languages(crawl: DataFrame, network: ByteCnn) -> DataFrame:
                 yield work(part)
 
     rows = crawl.select("crawl_id", "page").where("crawl_id is not null and octet_length(page) > 0")
-    return rows.mapInArrow(
+    return spread(rows).mapInArrow(
         run, "crawl_id bigint, block_no bigint, declared string, lang string, confidence double, n_chars bigint"
     )
 

@@ -30,7 +30,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from ..session import ship_package
+from ..session import ship_package, spread
 from ..sources.tables import table
 
 #: Folder of the vocabulary files, and the vocabulary used.
@@ -197,7 +197,7 @@ def token_ids(documents: DataFrame, folder: str = TOKENIZERS, name: str = VOCABU
             if batch.num_rows:
                 yield from _ids(batch, bpe)
 
-    return documents.select("doc_id", "text").mapInArrow(run, "doc_id bigint, ids array<int>")
+    return spread(documents.select("doc_id", "text")).mapInArrow(run, "doc_id bigint, ids array<int>")
 
 
 def token_texts(encoded: DataFrame, folder: str = TOKENIZERS, name: str = VOCABULARY) -> DataFrame:

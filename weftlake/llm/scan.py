@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import ship_package
+from ..session import ship_package, spread
 from .pages import Block, decode, page_blocks
 
 #: Pages, and bytes of pages, that are parsed before their results are sent off.
@@ -57,4 +57,4 @@ def map_batches(
 
     ship_package(df.sparkSession)
     rows = df.select(*columns).where(F.octet_length(sliced_by) > 0)
-    return rows.mapInArrow(run, schema)
+    return spread(rows).mapInArrow(run, schema)
