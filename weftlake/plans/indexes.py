@@ -9,7 +9,7 @@ from ..functions import html as H
 from ..functions import text as T
 from ..functions import urls as U
 from ..operators.skew import counted_token, join_by_key
-from ..session import cut_lineage
+from ..session import cut_lineage, spread
 from ..sources.tables import table
 
 #: Postings of one row of an index; a token with more has several parts.
@@ -57,19 +57,24 @@ def url_pairs(crawl: DataFrame) -> DataFrame:
     return postings(crawl.select("url"), T.path_tokens(U.strict_path(F.col("url"))))
 
 
+def _pages(crawl: DataFrame) -> DataFrame:
+    """Urls and pages of a scan, spread over the cores, as reading a page takes long."""
+    return spread(crawl.select("url", "page").where("octet_length(page) > 0"))
+
+
 def page_pairs(crawl: DataFrame) -> DataFrame:
     """Pairs of words of the page body and urls."""
-    return postings(crawl.where("octet_length(page) > 0"), H.page_tokens(H.page_text(F.col("page"))))
+    return postings(_pages(crawl), H.page_tokens(H.page_text(F.col("page"))))
 
 
 def alt_pairs(crawl: DataFrame) -> DataFrame:
     """Pairs of words of image descriptions and urls."""
-    return postings(crawl.where("octet_length(page) > 0"), H.alt_tokens(H.page_text(F.col("page"))))
+    return postings(_pages(crawl), H.alt_tokens(H.page_text(F.col("page"))))
 
 
 def anchor_positions(crawl: DataFrame) -> DataFrame:
     """``token, url, positions``: where in texts of links to a target a word stands, from 1 on, sorted."""
-    found = crawl.where("octet_length(page) > 0").select(F.explode(H.anchors(H.page_text(F.col("page")))).alias("a"))
+    found = _pages(crawl).select(F.explode(H.anchors(H.page_text(F.col("page")))).alias("a"))
     words = found.select(F.col("a.target").alias("url"), F.posexplode("a.words").alias("at", "token"))
     return words.groupBy("token", "url").agg(F.array_sort(F.collect_set(F.col("at") + 1)).alias("positions"))
 
