@@ -62,3 +62,40 @@ def test_signature_estimates_similarity():
     true = len(np.intersect1d(a, b)) / len(np.union1d(a, b))
     assert abs((P.signature(a) == P.signature(b)).mean() - true) < 0.15
     assert len(P.shingles("one two", 3, {})) == 0 and len(P.shingles("one Two three, one two THREE", 3, {})) == 3
+
+
+def versions(n, shared, own, seed=0):
+    """Sets with ``shared`` hashes in common and ``own`` of their own: all pairs are as similar."""
+    rng = np.random.default_rng(seed)
+    core = rng.integers(0, 1 << 63, shared, dtype=np.uint64)
+    return [np.unique(np.concatenate([core, rng.integers(0, 1 << 63, own, dtype=np.uint64)])) for _ in range(n)]
+
+
+def classes(spark, sets):
+    rows = [(i, f"u{i}", i, 0, bytearray(h.astype("<u8").tobytes()), bytearray(P.signature(h).tobytes())) for i, h in enumerate(sets)]
+    return spark.createDataFrame(rows, "crawl_id bigint, url string, hi bigint, lo bigint, words binary, signs binary")
+
+
+def test_many_versions_of_one_article(spark, monkeypatch):
+    monkeypatch.setattr(P, "CHUNK", 50, raising=False)
+    n = 500
+    pairs = [tuple(r) for r in P.similar_classes(classes(spark, versions(n, 90, 30)))[1].collect()]
+    assert len(pairs) == len(set(pairs)) and all(a < b for a, b in pairs)
+    assert len(pairs) >= 0.99 * n * (n - 1) / 2
+
+
+def test_crowded_regions_go_whole(monkeypatch):
+    key, rest, ids = entries(0)
+    monkeypatch.setattr(P, "REGION", 400)
+    sizes = dict(zip(*(x.tolist() for x in np.unique(key, return_counts=True))))
+    sparse = np.isin(key, [k for k, n in sizes.items() if n <= P.REGION])
+    want = expected(key[sparse], rest[sparse], ids[sparse])
+    rows = sorted(zip(key[~sparse].tolist(), ids[~sparse].tolist()))
+    for size, most in ((5000, 10**6), (37, 10**6), (50, 100), (500, 200)):
+        batches = (
+            pa.RecordBatch.from_arrays([pa.array(c[i : i + size]) for c in (key, rest, ids)], ["key", "rest", "id"])
+            for i in range(0, len(key), size)
+        )
+        found = [r for b in P._regions(batches, most) for r in b.to_pylist()]
+        assert {(r["a"], r["b"]) for r in found if r["key"] is None} == want
+        assert sorted((r["key"], r["a"]) for r in found if r["key"] is not None) == rows

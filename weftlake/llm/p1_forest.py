@@ -3,14 +3,13 @@
 The main bodies (p2) of all pages, p7's pages excepted, become sets of three
 consecutive words.  Equal sets form one class, so copies cost nothing further.
 Each class gets a pool of minhash values; every tree of the forest orders the
-classes by a sequence of them.  In that order, classes that share the longest
-prefixes are neighbours: a region is a run of classes with a common prefix, and
-the prefix is made longer, region by region, until a region is small or the
-sequence ends, so crowded parts of the order are searched deeper than sparse
-ones.  All pairs of a region are candidates; regions that are still large at
-full depth consist of texts that agree almost everywhere, and are walked in
-slices, none of their pairs left out.  Candidates pass a sketch estimate with a
-wide margin and are then verified exactly on their word sets.
+classes by a sequence of them.  In that order, classes that share a prefix are
+neighbours: a region is a run of classes with a common first prefix, and all
+its pairs are candidates, however large it is.  Small regions are paired where
+they are sorted.  Crowded ones, as many versions of one article make, are dealt
+into chunks, any two of which meet in a task of their own; a pair comes out of
+the first tree only that it shares a prefix in.  Candidates pass a sketch
+estimate with a wide margin and are then verified exactly on their word sets.
 
 Rows with null ``crawl_id``, ``url`` or ``page``, pages without main body or
 with fewer than three words in it take no part.  A row repeated in full pairs
@@ -38,8 +37,10 @@ from .shapes import is_stuffed
 WORDS, SIMILARITY = 3, 0.5
 #: Minhash values of a class; trees; values in a tree's first prefix and beyond it.
 POOL, TREES, PREFIX, DEEPER = 128, 64, 4, 4
-#: A region of more classes than this is split by a longer prefix.
+#: A region of more classes than this is crowded and paired chunk by chunk.
 REGION = 64
+#: Classes of a chunk of a crowded region, on average.
+CHUNK = 1000
 #: Entries of one key that a task holds before it cuts them at a longer prefix.
 HELD = 1_000_000
 #: Values compared by the sketch, and the agreement a candidate must reach: the
@@ -128,19 +129,26 @@ def page_sets(crawl: DataFrame) -> DataFrame:
     )
 
 
+def _tree_keys(signs: np.ndarray) -> np.ndarray:
+    """Hashes of the first prefixes in each tree, one row for each row of ``signs``."""
+    key = np.empty((len(signs), TREES), np.uint64)
+    for t, order in enumerate(_ORDERS):
+        h = np.full(len(signs), t + 1, np.uint64)
+        for j in order[:PREFIX]:
+            h = _mixed(h * _MIX[0] + signs[:, j].astype(np.uint64))
+        key[:, t] = h
+    return key
+
+
 def _entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for whole in batches:
         for start in range(0, whole.num_rows, 2000):
             batch = whole.slice(start, 2000)
             n = batch.num_rows
             signs = np.frombuffer(b"".join(batch.column("signs").to_pylist()), "<u2").reshape(n, POOL)
-            key = np.empty((n, TREES), np.uint64)
+            key = _tree_keys(signs)
             rest = np.zeros((n, TREES), np.uint64)
             for t, order in enumerate(_ORDERS):
-                h = np.full(n, t + 1, np.uint64)
-                for j in order[:PREFIX]:
-                    h = _mixed(h * _MIX[0] + signs[:, j].astype(np.uint64))
-                key[:, t] = h
                 for j in order[PREFIX:]:
                     rest[:, t] = rest[:, t] << np.uint64(16) | signs[:, j].astype(np.uint64)
             ids = np.repeat(batch.column("id").to_numpy(), TREES)
@@ -233,6 +241,82 @@ def _candidates(batches: Iterator[pa.RecordBatch], most: int = HELD) -> Iterator
     yield from pairs(held)
 
 
+def _regions(batches: Iterator[pa.RecordBatch], most: int = HELD) -> Iterator[pa.RecordBatch]:
+    """``a, b`` of pairs of small regions, and ``a, key`` of entries of crowded ones, of sorted entries.
+
+    Of a key whose entries have not ended, ``most`` are held, which is more than a small region has.
+    """
+    crowded: list[pa.RecordBatch] = []
+
+    def sparse() -> Iterator[pa.RecordBatch]:
+        held = [np.zeros(0, np.int64)] * 3
+        known = None  # a crowded key of which entries were passed on
+
+        def routed(entries: list[np.ndarray]) -> pa.RecordBatch:
+            _, number, sizes = np.unique(entries[0], return_inverse=True, return_counts=True)
+            many = (sizes > REGION)[number] | (False if known is None else entries[0] == known)
+            key, ids = entries[0][many], entries[2][many]
+            for i in range(0, len(key), 100_000):
+                crowded.append(_rows(ids[i : i + 100_000], None, key[i : i + 100_000]))
+            return pa.RecordBatch.from_arrays([pa.array(c[~many]) for c in entries], ["key", "rest", "id"])
+
+        for batch in batches:
+            held = [np.concatenate([h, c.to_numpy()]) for h, c in zip(held, batch.columns)]
+            if not len(held[0]):
+                continue
+            last = held[0][-1]
+            at = int(np.searchsorted(held[0], last))
+            if len(held[0]) - at > max(most, REGION):
+                yield routed(held)
+                held, known = [h[:0] for h in held], last
+            elif at:
+                yield routed([h[:at] for h in held])
+                held = [h[at:] for h in held]
+        if len(held[0]):
+            yield routed(held)
+
+    for pairs in _candidates(sparse()):
+        yield from crowded
+        crowded.clear()
+        yield _rows(pairs.column("a"), pairs.column("b"), None)
+    yield from crowded
+
+
+def _rows(a, b, key) -> pa.RecordBatch:
+    columns = [pa.nulls(len(a), pa.int64()) if c is None else c if isinstance(c, pa.Array) else pa.array(c) for c in (a, b, key)]
+    return pa.RecordBatch.from_arrays(columns, ["a", "b", "key"])
+
+
+def _chunk_pairs(rows: pa.Table) -> pa.Table:
+    """Pairs of two chunks of a crowded region (or of one) that the sketch lets pass and no earlier tree has."""
+    key, x, y = (rows.column(c)[0].as_py() for c in ("key", "x", "y"))
+    ids, chunk = rows.column("id").to_numpy(), rows.column("chunk").to_numpy()
+    signs = np.frombuffer(b"".join(rows.column("signs").to_pylist()), "<u2").reshape(-1, POOL)
+    sketch, keys = (signs[:, :SKETCH] & 0xFF).astype(np.uint8), _tree_keys(signs)
+    tree = int(np.flatnonzero(keys[0].view(np.int64) == key)[0])
+    left, right = np.flatnonzero(chunk == x), np.flatnonzero(chunk == y)
+    found = []
+    for n, i in enumerate(left):
+        others = right[n + 1 :] if x == y else right
+        others = others[(sketch[others] == sketch[i]).mean(axis=1) >= AGREEMENT]
+        others = others[~(keys[others, :tree] == keys[i, :tree]).any(axis=1)]
+        found.append(np.stack([np.minimum(ids[i], ids[others]), np.maximum(ids[i], ids[others])]))
+    a, b = np.concatenate(found, axis=1) if found else np.zeros((2, 0), np.int64)
+    return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+
+def crowded_pairs(crowded: DataFrame, signs: DataFrame) -> DataFrame:
+    """Pairs ``(a, b)`` of crowded regions, given as ``(key, id)``, that pass the sketch of ``signs (id, signs)``."""
+    parts = crowded.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / CHUNK).alias("parts"))
+    chunk = F.pmod(F.xxhash64("id"), F.col("parts"))
+    dealt = crowded.join(parts, "key").withColumn("chunk", chunk)
+    other = F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("parts") - 1))
+    met = dealt.select("key", "id", "chunk", other.alias("other")).select(
+        "key", "id", "chunk", F.least("chunk", "other").alias("x"), F.greatest("chunk", "other").alias("y")
+    )
+    return met.join(signs, "id").groupBy("key", "x", "y").applyInArrow(_chunk_pairs, "a bigint, b bigint")
+
+
 def _alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         if not batch.num_rows:
@@ -265,13 +349,16 @@ def similar_classes(sets: DataFrame) -> tuple[DataFrame, DataFrame]:
     classes = members.where("crawl_id = id").select("id").distinct()
     chosen = sets.join(classes, sets.crawl_id == classes.id, "left_semi").dropDuplicates(["crawl_id"])
     signs = cut_lineage(chosen.select(F.col("crawl_id").alias("id"), "signs"))
-    candidates = (
+    regions = (
         signs.mapInArrow(_entries, "key bigint, rest bigint, id bigint")
         .repartition("key")
         .sortWithinPartitions("key", "rest", "id")
-        .mapInArrow(_candidates, "a bigint, b bigint")
+        .mapInArrow(_regions, "a bigint, b bigint, key bigint")
         .distinct()
     )
+    regions = cut_lineage(regions)  # read twice below
+    candidates = regions.where("key is null").select("a", "b")
+    crowded = regions.where("key is not null").select("key", F.col("a").alias("id"))
     low = signs.select("id", _low_bytes("signs").alias("sketch"))
     near = (
         candidates.join(low.toDF("a", "sa"), "a")
@@ -279,7 +366,7 @@ def similar_classes(sets: DataFrame) -> tuple[DataFrame, DataFrame]:
         .select("a", "b", "sa", "sb")
         .mapInArrow(_alike, "a bigint, b bigint")
     )
-    near = cut_lineage(near)
+    near = cut_lineage(near.union(crowded_pairs(crowded, signs)).distinct())
     named = near.select(F.explode(F.array("a", "b")).alias("crawl_id")).distinct()
     if named.count() <= BROADCAST_ROWS:
         named = F.broadcast(named)
