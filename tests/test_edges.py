@@ -78,3 +78,11 @@ def test_cli(spark, tmp_path):
     assert run("get", "t", "k", "c") == ["v"] and run("get", "t", "k", "x") == ["no value"] and run("get-row", "t", "k") == ["c=v d=w"]
     assert run("scan", "t", "--start", "a") == ["k c=v d=w"] and run("count", "t") == ["1"] and run("tables") == ["t"]
     assert run("rename", "t", "u") == ["ok"] and run("rename", "t", "u") == ["failed"] and run("drop", "u") == ["ok"] and run("get-row", "u", "k") == ["no row"]
+
+
+def test_flatmap_pair_takes_all_words(tmp_path, spark):
+    from weftlake.plans.datasets import rdd_flatmap_pair_all
+
+    spark.createDataFrame([("a b c d e F g F",), (None,), ("",)], "text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = {(r.key, r.value): r.n for r in rdd_flatmap_pair_all(spark, str(tmp_path)).collect()}
+    assert got == {(w, "1"): 1 for w in "abcdeg"} | {("f", "1"): 2, ("", "0"): 1}

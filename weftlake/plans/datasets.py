@@ -35,10 +35,18 @@ def rdd_flatmap(spark, sf):
     return _counted(_words(spark, sf).flat_map(lambda v: F.split(v, " ")), "value")
 
 
+def _sized(words):
+    return F.transform(words, lambda w: F.struct(F.lower(w).alias("key"), F.length(w).cast("string").alias("value")))
+
+
 def rdd_flatmap_pair(spark, sf):
-    pairs = _words(spark, sf).flat_map_to_pair(
-        lambda v: F.transform(F.slice(F.split(v, " "), 1, 5), lambda w: F.struct(F.lower(w).alias("key"), F.length(w).cast("string").alias("value")))
-    )
+    """Pairs of the first five words of each text; rdd_flatmap_pair_all has those of all words."""
+    pairs = _words(spark, sf).flat_map_to_pair(lambda v: _sized(F.slice(F.split(v, " "), 1, 5)))
+    return _counted(pairs, "key", "value")
+
+
+def rdd_flatmap_pair_all(spark, sf):
+    pairs = _words(spark, sf).flat_map_to_pair(lambda v: _sized(F.split(v, " ")))
     return _counted(pairs, "key", "value")
 
 
@@ -155,7 +163,7 @@ _EV = "select event_type as k, length(event_type)::varchar as v from events wher
 QUERIES = {
     f.__name__: f
     for f in (
-        rdd_from_table, rdd_parallelize, rdd_flatmap, rdd_flatmap_pair, rdd_map_pair, pair_flatmap, pair_flatmap_pair, rdd_opaque_map,
+        rdd_from_table, rdd_parallelize, rdd_flatmap, rdd_flatmap_pair, rdd_flatmap_pair_all, rdd_map_pair, pair_flatmap, pair_flatmap_pair, rdd_opaque_map,
         rdd_filter, rdd_map_partitions, rdd_sample_bernoulli, rdd_sample_systematic, rdd_distinct, rdd_intersection, rdd_union,
         rdd_group_by, rdd_count, rdd_take, rdd_fold, pair_fold_by_key_sum, pair_fold_by_key_concat, pair_fold_by_key_setunion,
         pair_fold_by_key_append, pair_join, pair_cogroup, rdd_count_distinct,
@@ -166,6 +174,7 @@ SQL = {
     "rdd_parallelize": "select unnest(['pear', 'apple', 'pear', 'fig']) as value",
     "rdd_flatmap": "select value, count(*)::bigint as n from (select unnest(string_split(text, ' ')) as value from documents) where value is not null group by value",
     "rdd_flatmap_pair": "select lower(w) as key, length(w)::varchar as value, count(*)::bigint as n from (select unnest(string_split(text, ' ')[1:5]) as w from documents) group by all",
+    "rdd_flatmap_pair_all": "select lower(w) as key, length(w)::varchar as value, count(*)::bigint as n from (select unnest(string_split(text, ' ')) as w from documents) group by all",
     "rdd_map_pair": "select left(o_orderpriority, 1) as key, '1' as value, count(*)::bigint as n from orders where o_orderpriority <> '5-LOW' group by all",
     "pair_flatmap": f"select value, count(*)::bigint as n from (select unnest([k, v]) as value from ({_EV})) group by value",
     "pair_flatmap_pair": f"select v as key, k as value, count(*)::bigint as n from ({_EV}) group by all",
