@@ -79,3 +79,18 @@ def test_join_by_key_matches_plain_join(spark):
     assert skew.hot_keys(sizes).collect()[0].k == "hot"
     got = skew.join_by_key(rows, stats, sizes, "k")
     assert got.count() == 20_000 and got.where("k = 'hot'").select("s").distinct().collect()[0].s == 2 * 6667
+
+
+def test_page_postings_in_parts(spark, monkeypatch):
+    monkeypatch.setattr(indexes, "MAX_POSTINGS", 5)
+    rows = [(f"u{i:02}", bytearray(f"<p>hot {'rare' if i == 3 else 'cold'}</p>".encode())) for i in range(20)]
+    found = indexes.inverted(indexes.page_pairs(spark.createDataFrame(rows, "url string, page binary"))).collect()
+    hot = [r for r in found if r.token == "hot"]
+    assert sorted(u for r in hot for u in r.urls) == [u for u, _ in rows] and len({r.part for r in hot}) == len(hot) > 1
+    assert [(r.part, r.urls) for r in found if r.token == "rare"] == [(0, ["u03"])]
+
+
+def test_stored_lists_are_merged(tmp_path, spark):
+    rows = [("a", ["u", "v"]), (" A ", ["w", "u", None]), ("b", []), (None, ["u"])]
+    spark.createDataFrame(rows, "token string, urls array<string>").write.parquet(str(tmp_path / "pt_title_index.parquet"))
+    assert [tuple(r) for r in indexes.stored_index_postings(spark, str(tmp_path)).collect()] == [("a", 0, "u v w")]

@@ -108,6 +108,10 @@ def page_index(spark, sf):
     return document_frequency(page_pairs(table(spark, sf, "pt_crawl")))
 
 
+def page_postings(spark, sf):
+    return _joined(inverted(page_pairs(table(spark, sf, "pt_crawl"))))
+
+
 def _with_images(spark, sf) -> DataFrame:
     # the pages hold no images, so one is put before each page, described by its title
     crawl = table(spark, sf, "pt_crawl").where("octet_length(page) > 0 and title is not null")
@@ -123,10 +127,19 @@ def anchor_index_query(spark, sf):
     return anchor_index(table(spark, sf, "pt_crawl"))
 
 
+def _stored_pairs(spark, sf) -> DataFrame:
+    rows = table(spark, sf, "pt_title_index").select(counted_token().alias("token"), "urls")
+    return rows.select("token", F.explode("urls").alias("url")).dropna().distinct()
+
+
 def stored_index_merged(spark, sf):
+    """Numbers of urls in the partial posting lists of the stored index, merged by counted token."""
+    return document_frequency(_stored_pairs(spark, sf))
+
+
+def stored_index_postings(spark, sf):
     """Partial posting lists of the stored index, merged by counted token."""
-    rows = table(spark, sf, "pt_title_index").select(counted_token().alias("token"), "urls")
-    return document_frequency(rows.select("token", F.explode("urls").alias("url")).dropna().distinct())
+    return _joined(inverted(_stored_pairs(spark, sf)))
 
 
 def tokens_with_df(spark, sf):
@@ -186,9 +199,11 @@ QUERIES = {
     "title_index_topdf": title_index_topdf,
     "url_index": url_index,
     "page_index": page_index,
+    "page_postings": page_postings,
     "alt_index": alt_index,
     "anchor_index": anchor_index_query,
     "stored_index_merged": stored_index_merged,
+    "stored_index_postings": stored_index_postings,
     "tokens_with_df": tokens_with_df,
 }
 SQL = {
@@ -196,12 +211,18 @@ SQL = {
     "title_index_topdf": "with " + _TITLE + "select token, count(*)::bigint as df from p group by token order by df desc, token limit 50",
     "url_index": "with " + _PATHS + _INDEX,
     "page_index": "with " + _PAGE + "select token, count(*)::bigint as df from p group by token",
+    "page_postings": "with " + _PAGE + _INDEX,
     "alt_index": "with " + _ALT + _INDEX,
     "anchor_index": _ANCHORS,
     "stored_index_merged": r"""
 select token, count(distinct url)::bigint as df from (
   select nullif(lower(regexp_replace(token, '^\s+|\s+$', '', 'g')), '') as token, unnest(urls) as url from pt_title_index)
 where token is not null and url is not null group by token""",
+    "stored_index_postings": r"""
+with p as (select distinct * from (
+  select nullif(lower(regexp_replace(token, '^\s+|\s+$', '', 'g')), '') as token, unnest(urls) as url from pt_title_index)
+  where token is not null and url is not null)
+""" + _INDEX,
     "tokens_with_df": """
 select token, url, count(*) over (partition by token)::bigint as df
 from (select distinct token, url from (select token, unnest(urls) as url from pt_url_index) where token is not null and url is not null)""",
