@@ -122,3 +122,13 @@ def test_languages(spark):
     assert pages[1].mixed and pages[2].lang == "en" and 0 < pages[2].confidence <= 1 and set(pages) == {1, 2}
     assert p5_language.block_languages(crawl(spark, []), network).count() == 0
     assert len(network.probabilities([])) == 0 and abs(network.probabilities(["x" * 100_000]).sum() - 1) < 1e-6
+
+
+def test_pages_without_repeated_lines(spark):
+    html = lambda own: f"<p>Menu</p><p>{own}</p><p>Shared by all</p><p>Page 7</p>"
+    rows = [(i, f"http://h/{i}", html(f"only {w}")) for i, w in enumerate("abcdef")]
+    rows += [(0, "http://h/0", html("only a")), (0, "http://h/0", "<p>x</p><p>Menu</p>"), (7, "http://other/", html("only g")), (8, "http://h/8", "<p>MENU</p>"), (9, "http://h/9", None)]
+    got = sorted(tuple(r) for r in p6_lines.cleaned_pages(crawl(spark, rows)).collect())
+    want = [(i, f"only {w}") for i, w in enumerate("abcdef")] + [(0, "only a"), (0, "x"), (7, "Menu\nonly g\nShared by all\nPage 7"), (8, "")]
+    assert got == sorted(want)
+    assert p6_lines.cleaned_pages(crawl(spark, [])).count() == 0

@@ -3,8 +3,9 @@
 The lines of a host are nodes of a graph, weighted by the number of distinct
 urls whose pages hold them; lines that follow each other on a page are joined
 by an edge, weighted in the same way.  Nodes and edges of high support stay;
-the connected components of what stays are the host's boilerplate blocks, and
-every occurrence of their lines is cut out of the pages.
+the connected components of what stays are the host's boilerplate blocks.
+p6_found lists every occurrence of their lines, p6_cleaned gives the pages
+without them.
 
 Lines are equal when equal in lower case with each run of the digits 0-9
 replaced by ``#``.  Rows with a null url or crawl_id, or without page, take no
@@ -15,11 +16,12 @@ once for support, as they have one url.  Further columns are ignored.
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.skew import join_by_key
@@ -125,12 +127,47 @@ def boilerplate_blocks(pages: DataFrame) -> DataFrame:
     )
 
 
+def _page_texts(batch: pa.RecordBatch) -> pa.RecordBatch:
+    _, pages = parsed(batch)
+    texts = pa.array([[b.text for b in blocks] for blocks in pages], pa.list_(pa.string()))
+    return pa.RecordBatch.from_arrays([*_page_lines(batch).columns, texts], ["crawl_id", "url_id", "host_id", "lines", "texts"])
+
+
+def _without(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        kept = []
+        for texts, cut in zip(batch.column("texts").to_pylist(), batch.column("cut").to_pylist()):
+            gone = set(cut or ())
+            kept.append("\n".join(t for i, t in enumerate(texts) if i not in gone))
+        yield pa.RecordBatch.from_arrays([batch.column("crawl_id"), pa.array(kept, pa.string())], ["crawl_id", "text"])
+
+
+def cleaned_pages(crawl: DataFrame) -> DataFrame:
+    """Each page without its boilerplate lines: ``crawl_id, text``, the blocks that remain joined by line breaks."""
+    page = F.xxhash64("url_id", "lines").alias("page_id")  # rows of one crawl_id may differ
+    found = _occurrences(cut_lineage(page_lines(crawl)), "crawl_id", page)
+    cut = found.groupBy("crawl_id", "page_id").agg(F.collect_set("block_no").alias("cut"))
+    named = crawl.where("crawl_id is not null and url is not null")
+    texts = map_batches(
+        named,
+        ["crawl_id", "url", "page"],
+        _page_texts,
+        "crawl_id bigint, url_id bigint, host_id bigint, lines array<bigint>, texts array<string>",
+    )
+    both = texts.select("crawl_id", page, "texts").join(cut, ["crawl_id", "page_id"], "left")
+    return both.select("crawl_id", "texts", "cut").mapInArrow(_without, "crawl_id bigint, text string")
+
+
 def repeated_blocks(crawl: DataFrame) -> DataFrame:
     """Occurrences of boilerplate lines: ``crawl_id, block_no, block``."""
-    pages = cut_lineage(page_lines(crawl))
+    return _occurrences(cut_lineage(page_lines(crawl)), "crawl_id")
+
+
+def _occurrences(pages: DataFrame, *keys: Column | str) -> DataFrame:
+    """Occurrences of boilerplate lines in ``pages``, which is read several times: ``keys, block_no, block``."""
     lines = cut_lineage(boilerplate_blocks(pages))
     occurrences = pages.select(
-        "crawl_id", "host_id", F.posexplode("lines").alias("block_no", "line")
+        *keys, "host_id", F.posexplode("lines").alias("block_no", "line")
     ).withColumn("block_no", F.col("block_no").cast("bigint"))
     found = join_by_key(
         occurrences,
@@ -139,12 +176,16 @@ def repeated_blocks(crawl: DataFrame) -> DataFrame:
         "host_id",
         "line",
     )
-    return found.select("crawl_id", "block_no", "block")
+    return found.drop("host_id", "line")
 
 
 def p6_found(spark, sf):
     return repeated_blocks(table(spark, sf, "pt_crawl")).select("crawl_id", "block_no")
 
 
-QUERIES = {"p6_found": p6_found}
+def p6_cleaned(spark, sf):
+    return cleaned_pages(table(spark, sf, "pt_crawl"))
+
+
+QUERIES = {"p6_found": p6_found, "p6_cleaned": p6_cleaned}
 SQL: dict[str, str] = {}
