@@ -87,3 +87,8 @@ def test_systematic_sample(spark):
     assert sorted(r.k for r in systematic_sample(rows, "k", 10).collect()) == list(range(0, 1000, 100))
     assert systematic_sample(rows, "k", 0).count() == 1000 and systematic_sample(rows, "k", 2000).count() == 1000
     assert systematic_sample(rows, "k", 300).count() == 300
+
+
+def test_wide_keeps_what_goes_beyond_its_columns(spark):
+    pairs = Pairs(spark.createDataFrame([("a", v) for v in "51342"] + [("b", "1")], "key string, value string"))
+    assert sorted(tuple(r) for r in pairs.wide(3, "more").collect()) == [("a", "1", "2", "3", ["4", "5"]), ("b", "1", None, None, [])]

@@ -255,11 +255,15 @@ class Pairs(_Handle):
         """Write the pairs as a Parquet table."""
         self.df.select("key", "value").write.mode(mode).parquet(path)
 
-    def wide(self, columns: int) -> DataFrame:
-        """One row per key with its values, in order, as ``v0, v1, …``."""
+    def wide(self, columns: int, more: str | None = None) -> DataFrame:
+        """One row per key with the first ``columns`` of its values, in order, as ``v0, v1, …``.
+
+        The values beyond them are left out, or go into the array column ``more``.
+        """
         values = F.array_sort(F.collect_list("value"))
         rows = self.df.groupBy("key").agg(values.alias("_all"))
-        return rows.select("key", *(F.get("_all", F.lit(i)).alias(f"v{i}") for i in range(columns)))
+        rest = [F.slice("_all", columns + 1, F.size("_all")).alias(more)] if more else []
+        return rows.select("key", *(F.get("_all", F.lit(i)).alias(f"v{i}") for i in range(columns)), *rest)
 
 
 class Output:

@@ -70,12 +70,20 @@ def kv_page_view(spark, sf):
     return K.page_view(_base(spark, sf), "key", "14")
 
 
-def kv_wide_pairs(spark, sf):
+def _orders(spark, sf):
     from ..operators.dataset import Pairs
 
     orders = table(spark, sf, "orders")
-    pairs = orders.select(F.col("o_custkey").cast("string").alias("key"), F.col("o_orderkey").cast("string").alias("value"))
-    return Pairs(pairs).wide(3)
+    return Pairs(orders.select(F.col("o_custkey").cast("string").alias("key"), F.col("o_orderkey").cast("string").alias("value")))
+
+
+def kv_wide_pairs(spark, sf):
+    """The first three values of each key; kv_wide_pairs_all has all of them."""
+    return _orders(spark, sf).wide(3)
+
+
+def kv_wide_pairs_all(spark, sf):
+    return _orders(spark, sf).wide(3, "more")
 
 
 def kv_replica_diff(spark, sf):
@@ -119,7 +127,7 @@ _DIG = "sha1(concat_ws('&', 'balance=' || balance, 'name=' || name, 'segment=' |
 QUERIES = {
     f.__name__: f
     for f in (
-        kv_put_cell, kv_put_row, kv_range_scan, kv_key_ranges, kv_get_row, kv_get_cell, kv_exists, kv_count, kv_page_view, kv_wide_pairs,
+        kv_put_cell, kv_put_row, kv_range_scan, kv_key_ranges, kv_get_row, kv_get_cell, kv_exists, kv_count, kv_page_view, kv_wide_pairs, kv_wide_pairs_all,
         kv_replica_diff, kv_digest, kv_probe, kv_key_order, golden_comparison,
     )
 }
@@ -135,6 +143,8 @@ SQL = {
     "kv_page_view": f"with {_B} select * from b where key >= '14' order by key limit 10",
     "kv_wide_pairs": """with o as (select o_custkey::varchar as key, list(o_orderkey::varchar order by o_orderkey::varchar) as l from orders group by all)
 select key, l[1] as v0, l[2] as v1, l[3] as v2 from o""",
+    "kv_wide_pairs_all": """with o as (select o_custkey::varchar as key, list(o_orderkey::varchar order by o_orderkey::varchar) as l from orders group by all)
+select key, l[1] as v0, l[2] as v1, l[3] as v2, l[4:] as more from o""",
     "kv_replica_diff": f"""with {_B}, {_D}, {_M}, x as (select key, {_DIG} as h from b where key::bigint % 10 <> 1), y as (select key, {_DIG} as h from m)
 select y.key, case when x.key is null then 'missing' else 'differs' end as reason from y left join x on x.key = y.key where x.key is null or x.h <> y.h""",
     "kv_digest": f"with {_D} select key, {_DIG} as digest from d",
