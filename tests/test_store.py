@@ -54,3 +54,12 @@ def test_row_files(spark, tmp_path):
     (tmp_path / "empty").write_bytes(b"")
     found = {r.key: {c: bytes(v) for c, v in r.cols.items()} for r in R.read_row_files(spark, str(tmp_path)).collect()}
     assert found == {"some-key": cells, "k": {}}
+
+
+def test_digest_all_takes_every_row_and_column(tmp_path, spark):
+    from weftlake.plans.tables import kv_digest_all
+
+    rows = [(1, "a", "s", 1.5), (2, "a", "s", 2.5), (3, "a", "s", None)]
+    spark.createDataFrame(rows, "c_custkey bigint, c_name string, c_mktsegment string, c_acctbal double").write.parquet(str(tmp_path / "customer.parquet"))
+    got = {r.key: r.digest for r in kv_digest_all(spark, str(tmp_path)).collect()}
+    assert set(got) == {"1", "2", "3"} and len(set(got.values())) == 3

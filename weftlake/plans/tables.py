@@ -95,6 +95,10 @@ def kv_digest(spark, sf):
     return _delta(spark, sf).select("key", K.row_digest(COLUMNS).alias("digest"))
 
 
+def kv_digest_all(spark, sf):
+    return _base(spark, sf).select("key", K.row_digest(COLUMNS).alias("digest"))
+
+
 def kv_probe(spark, sf):
     c = table(spark, sf, "pt_crawl")
     return c.agg(
@@ -128,7 +132,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         kv_put_cell, kv_put_row, kv_range_scan, kv_key_ranges, kv_get_row, kv_get_cell, kv_exists, kv_count, kv_page_view, kv_wide_pairs, kv_wide_pairs_all,
-        kv_replica_diff, kv_digest, kv_probe, kv_key_order, golden_comparison,
+        kv_replica_diff, kv_digest, kv_digest_all, kv_probe, kv_key_order, golden_comparison,
     )
 }
 SQL = {
@@ -148,6 +152,7 @@ select key, l[1] as v0, l[2] as v1, l[3] as v2, l[4:] as more from o""",
     "kv_replica_diff": f"""with {_B}, {_D}, {_M}, x as (select key, {_DIG} as h from b where key::bigint % 10 <> 1), y as (select key, {_DIG} as h from m)
 select y.key, case when x.key is null then 'missing' else 'differs' end as reason from y left join x on x.key = y.key where x.key is null or x.h <> y.h""",
     "kv_digest": f"with {_D} select key, {_DIG} as digest from d",
+    "kv_digest_all": f"with {_B} select key, {_DIG} as digest from b",
     "kv_probe": "select count(*)::bigint as n, count(url)::bigint as with_url, count(page)::bigint as with_page, count(title)::bigint as with_title from pt_crawl",
     "kv_key_order": f"with {_B} select * from b order by key limit 25",
     "golden_comparison": f"""with {_B}, {_D}, {_R}, x as (select key, {_DIG} as h from b), y as (select key, {_DIG} as h from r)
