@@ -94,3 +94,11 @@ def test_stored_lists_are_merged(tmp_path, spark):
     rows = [("a", ["u", "v"]), (" A ", ["w", "u", None]), ("b", []), (None, ["u"])]
     spark.createDataFrame(rows, "token string, urls array<string>").write.parquet(str(tmp_path / "pt_title_index.parquet"))
     assert [tuple(r) for r in indexes.stored_index_postings(spark, str(tmp_path)).collect()] == [("a", 0, "u v w")]
+
+
+def test_crawl_ends_with_an_empty_frontier(spark):
+    pages = spark.createDataFrame([(f"u{i}", [f"u{i + 1}"]) for i in range(8)], "url string, links array<string>")
+    seeds = spark.createDataFrame([("u0",)], "url string")
+    assert sorted((r["round"], r.url) for r in crawl.crawl(seeds, pages).collect()) == [(i, f"u{i}") for i in range(9)]
+    with pytest.raises(RuntimeError, match="3 rounds"):
+        crawl.crawl(seeds, pages, rounds=3)

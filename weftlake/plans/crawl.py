@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -10,8 +12,8 @@ from ..functions.robots import robots_allow
 from ..session import cut_lineage
 from ..sources.tables import table
 
-#: Bytes of a page that are read; rounds at most.
-MAX_BYTES, MAX_ROUNDS = 500_000, 100
+#: Bytes of a page that are read.
+MAX_BYTES = 500_000
 
 
 def not_fetched(candidates: DataFrame, crawl: DataFrame) -> DataFrame:
@@ -27,20 +29,23 @@ def next_frontier(fetched: DataFrame, visited: DataFrame) -> DataFrame:
 
 
 def crawl(
-    seeds: DataFrame, pages: DataFrame, robots: DataFrame | None = None, agent: str = "weftlake", rounds: int = MAX_ROUNDS
+    seeds: DataFrame, pages: DataFrame, robots: DataFrame | None = None, agent: str = "weftlake", rounds: int | None = None
 ) -> DataFrame:
     """Visits ``url, round, found`` of a crawl from ``seeds (url)`` over ``pages (url, links)``.
 
     Every round visits the frontier: urls that robots rules (``host, body``)
     forbid are left out, the others are looked up among the pages, and the
     links of those found make up the next frontier, as far as they were not
-    visited.  It ends with an empty frontier.  Rounds are joins and end in a
-    checkpoint.
+    visited.  It ends with an empty frontier; a crawl that has not ended after
+    ``rounds`` rounds, where a number is given, fails.  Rounds are joins and
+    end in a checkpoint.
     """
     allow = robots_allow(agent)
     frontier = seeds.select("url").where("url is not null").distinct()
     visited = None
-    for step in range(rounds):
+    for step in count():
+        if step == rounds:
+            raise RuntimeError(f"the crawl has not ended after {rounds} rounds")
         if robots is not None:
             with_host = frontier.withColumn("host", U.host(F.col("url"))).join(robots, "host", "left")
             frontier = with_host.where(allow("body", U.url_parts(F.col("url"))["path"])).select("url")
@@ -50,8 +55,7 @@ def crawl(
         visited = seen if visited is None else cut_lineage(visited.union(seen))
         frontier = cut_lineage(next_frontier(round_.where("links is not null"), visited))
         if frontier.isEmpty():
-            break
-    return visited
+            return visited
 
 
 def politeness(fetches: DataFrame, delay_ms: int = 1000) -> DataFrame:
@@ -83,7 +87,7 @@ def crawl_bfs(spark, sf):
     edges = _parts_graph(spark, sf)
     pages = cut_lineage(edges.groupBy("url").agg(F.collect_list("to").alias("links")))
     seeds = spark.createDataFrame([("s1",)], "url string")
-    return crawl(seeds, pages, rounds=6).select("url", "round", "found")
+    return crawl(seeds, pages).select("url", "round", "found")
 
 
 def crawl_frontier_round(spark, sf):
