@@ -3,10 +3,10 @@
 from pages_for_tests import SENTENCES, crawl, page, paragraphs
 
 from weftlake.llm import p1_forest, p2_mainbody, p5_language, p6_lines
-from weftlake.llm.mainbody import main_blocks
+from weftlake.llm.labels import labelled_pages
+from weftlake.llm.mainbody import FEATURES, Judged, is_stuffed, main_blocks, page_trees
 from weftlake.llm.pages import declared_language, decode, page_blocks
 from weftlake.llm.prose import lines
-from weftlake.llm.shapes import is_stuffed
 
 HEAP = "<p>" + "cheap boots sale boots best boots shop boots " * 12 + "</p>"
 LINKS = "<ul>" + "".join(f'<li><a href="/{i}">offer boots {w}</a></li>' for i, w in enumerate("Ara Bel Cor Dun Eks Fon Gar Hol".split() * 4)) + "</ul>"
@@ -35,7 +35,43 @@ def test_main_body():
     blocks = page_blocks(html)
     main = [blocks[i].text for i in main_blocks([blocks])[0]]
     assert main == ["A mill", *SENTENCES[:3], "Short item"]
-    assert [list(x) for x in main_blocks([[], blocks[:2]])][0] == []
+    assert [list(x) for x in main_blocks([[], blocks[:2]])][0] == [] and main_blocks([]) == []
+
+
+TWO = [f"{a} {b}" for a, b in zip(SENTENCES[::2], SENTENCES[1::2])]
+
+
+def main_of(html):
+    blocks = page_blocks(html)
+    return [blocks[i].text for i in main_blocks([blocks])[0]]
+
+
+def test_main_body_spread_over_containers():
+    for body in (paragraphs(TWO[:2]), paragraphs(SENTENCES[:2])):
+        want = ["A mill", *(TWO[:2] if TWO[0] in body else SENTENCES[:2])]
+        assert main_of(f"<body><header><h1>A mill</h1></header><div>{body}</div></body>") == want
+        assert main_of(f"<body><h1>A mill</h1><article>{body}</article></body>") == want
+        assert main_of(f"<table><tr><td><h1>A mill</h1></td></tr><tr><td>{body}</td></tr></table>") == want
+    aside = '<aside><h3>More</h3><p><a href="/x">A storm took the roof of the mill in the night.</a></p></aside>'
+    assert main_of(f"<h1>A mill</h1><p>{TWO[2]}</p>{aside}{paragraphs(TWO[:2])}") == ["A mill", TWO[2], *TWO[:2]]
+    linked = f'<p><a href="/x">{TWO[3]}</a></p>'
+    assert main_of(f"<h1>A mill</h1><p>{TWO[2]}</p>{linked}{paragraphs(TWO[:2])}") == ["A mill", TWO[2], *TWO[:2]]
+    assert main_of(f'<ul><li><a href="/">Home</a></li><li><a href="/h">Help</a></li></ul>{paragraphs(TWO[:2])}') == TWO[:2]
+
+
+def test_trees_use_words_and_links_of_neighbours():
+    used = [{FEATURES[j] for j in tree.feature if j >= 0} for tree in page_trees()]
+    assert all({"words", "link", "words_before", "words_after"} <= u for u in used)
+    assert {"link_before", "link_after"} <= used[0] | used[1]
+    own = [Judged([p.blocks]) for p in labelled_pages()]
+    assert sum(j.stuffed()[0] == p.stuffed for j, p in zip(own, labelled_pages())) >= 0.98 * len(own)
+
+
+def test_stuffed_lines_anywhere():
+    heap = "".join(f"<p>{'cheap boots sale boots best boots shop'}</p>" for _ in range(40))
+    for html in (f"<h1>boots</h1><div>{heap}</div>", f"<div><h1>boots</h1><div>{heap}</div></div>", f"<h1>b</h1><p>cheap boots</p><aside><h3>More</h3><p>x</p></aside>{heap}",
+                 "<h1>boots</h1><table><tr>" + heap.replace("p>", "td>") + "</tr></table>"):
+        assert is_stuffed(page_blocks(html))
 
 
 def test_stuffed():

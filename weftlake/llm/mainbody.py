@@ -1,11 +1,17 @@
-"""Main body of web pages: flat text blocks judged by a decision tree.
-
-A block is described by its own word count, words per sentence and link
-density, by the word counts and link densities of the blocks before and after
-it, by the boundary tag before it and by where its container stands to that of
-the page's heading.  The tree is trained on the small labelled table of
-:mod:`labels` when it is first needed in a process; pages are then judged one
-by one, without any shuffle.
+"""Main body of web pages: flat text blocks judged by decision trees.
+
+A block is described by its own word count, sentences and link density, by
+those of the blocks before and after it, by the
+boundary tag before it, by the kind of heading it stands under, by how many
+blocks of its kind follow each other, and by how its words compare with the
+page's longest stretch of prose.  Containers play no part, so an article may
+spread over as many as it likes.
+
+Two trees over these features are trained on the labelled table of
+:mod:`labels` when they are first needed in a process.  One tells a page's own
+content from its furniture, which is what :mod:`shapes` looks at; the other one
+picks the main body of pages that are not stuffed.  Pages are judged one by
+one, without any shuffle.
 """
 
 from __future__ import annotations
@@ -16,49 +22,94 @@ from functools import lru_cache
 
 import numpy as np
 
-from .labels import labelled_pages
+from .labels import FURNITURE, MAIN, labelled_pages
 from .pages import Block
-from .shapes import heading_index
+from .shapes import stuffed_share
 from .tree import Tree
 
 _SENTENCE = re.compile(r"[.!?…。][\"'»”’)\]]*(?:\s|$)")
 _CLOSED = re.compile(r"[.!?…。][\"'»”’)\]]*$")
-_KIND = {"h1": 1, "h2": 2, "h3": 2, "h4": 2, "h5": 2, "h6": 2, "li": 3, "dd": 3, "blockquote": 4, "button": 5, "small": 5}
-FEATURES = "words pace link words_before words_after link_before link_after kind place".split()
+#: Kinds of boundary tags; all others are 0, plain text.
+_KIND = {"button": -1, "small": -1, "li": 1, "dd": 1, "blockquote": 2, "h6": 3, "h5": 3, "h4": 3, "h3": 3, "h2": 4, "h1": 5}
+FEATURES = "words sentences link words_before words_after link_before link_after sentences_before sentences_after kind under run share longest".split()
+#: Share of a page's own words in few non-sentence shapes beyond which it is stuffed.
+STUFFED = 0.5
 
 
 def block_features(blocks: Sequence[Block]) -> np.ndarray:
-    """One row of :data:`FEATURES` for each block."""
+    """One row of :data:`FEATURES` for each block.
+
+    ``under`` is 1 below the page's h1 or in a page without, 2 below a later h2
+    and 3 below a later lower heading; before the h1 it is less by 3; ``run`` counts the neighbours of the
+    same kind that are linked alike; ``longest`` are the words of the page's
+    longest block that ends as a sentence does, ``share`` the block's in these.
+    """
     n = len(blocks)
     x = np.zeros((n, len(FEATURES)))
     if not n:
         return x
-    at = heading_index(blocks)
-    here = blocks[at].container
+    under = -2 if any(b.tag == "h1" for b in blocks) else 1
+    longest, first = 1, 0
     for i, b in enumerate(blocks):
         words = b.text.count(" ") + 1
-        x[i, 0] = words
+        kind = _KIND.get(b.tag, 0)
+        if kind == 5:
+            under = 1
+        elif kind in (3, 4):
+            under = (6 if under > 0 else 3) - kind
+        x[i, 0], x[i, 2], x[i, 9], x[i, 10] = words, b.link, kind, under
         if _CLOSED.search(b.text, max(0, len(b.text) - 6)):
-            x[i, 1] = words / max(1, len(_SENTENCE.findall(b.text)))
-        x[i, 2] = b.link
-        x[i, 7] = _KIND.get(b.tag, 0)
-        x[i, 8] = max(-2, min(2, b.container - here)) if i >= at else -1
-    x[1:, 3], x[:-1, 4] = x[:-1, 0], x[1:, 0]
-    x[1:, 5], x[:-1, 6] = x[:-1, 2], x[1:, 2]
+            x[i, 1] = len(_SENTENCE.findall(b.text))
+            if b.link < 0.5:
+                longest = max(longest, words)
+        if i and (kind != x[i - 1, 9] or (b.link >= 0.5) != (x[i - 1, 2] >= 0.5)):
+            x[first:i, 11] = i - first
+            first = i
+    x[first:, 11] = n - first
+    x[:, 12] = np.minimum(1, x[:, 0] / longest)
+    x[:, 13] = longest
+    for own, before in ((0, 3), (2, 5), (1, 7)):
+        x[1:, before], x[:-1, before + 1] = x[:-1, own], x[1:, own]
     return x
 
 
 @lru_cache(1)
-def body_tree() -> Tree:
-    """The tree, trained on all rows of the labelled table."""
-    labels, rows = zip(*((y, block_features(b)) for y, b in labelled_pages()))
-    return Tree(max_depth=6).fit(np.concatenate(rows), np.concatenate([np.array(y) for y in labels]))
+def page_trees() -> tuple[Tree, Tree]:
+    """The trees for own content and for the main body, trained on all rows of the labelled table."""
+    pages = list(labelled_pages())
+    rows = [block_features(p.blocks) for p in pages]
+    label = [np.array(p.labels) for p in pages]
+    own = Tree(max_depth=10, min_leaf=4).fit(np.concatenate(rows), np.concatenate(label) != FURNITURE)
+    plain = [i for i, p in enumerate(pages) if not p.stuffed]
+    main = np.concatenate([label[i] for i in plain]) == MAIN
+    return own, Tree(max_depth=10, min_leaf=4).fit(np.concatenate([rows[i] for i in plain]), main)
+
+
+class Judged:
+    """What the trees say about some pages."""
+
+    def __init__(self, pages: Sequence[Sequence[Block]]) -> None:
+        self.pages = pages
+        ends = np.cumsum([len(b) for b in pages])[:-1]
+        x = np.concatenate([block_features(b) for b in pages]) if pages else np.zeros((0, len(FEATURES)))
+        own, body = page_trees()
+        self._own, self._main = (np.split(t.predict(x), ends) if len(x) else [np.zeros(0, bool)] * len(pages) for t in (own, body))
+
+    def stuffed(self) -> list[bool]:
+        """Whether each page is dominated by few shapes that are no sentences."""
+        return [stuffed_share([b for b, o in zip(p, own) if o]) > STUFFED for p, own in zip(self.pages, self._own)]
+
+    def main(self) -> list[np.ndarray]:
+        """Numbers of each page's main-body blocks, in order; stuffed pages have none."""
+        none = np.zeros(0, int)
+        return [none if s else np.flatnonzero(m) for s, m in zip(self.stuffed(), self._main)]
 
 
 def main_blocks(pages: Sequence[Sequence[Block]]) -> list[np.ndarray]:
     """For each page the numbers of its main-body blocks, in order."""
-    sizes = [len(b) for b in pages]
-    if not sum(sizes):
-        return [np.zeros(0, int) for _ in pages]
-    label = body_tree().predict(np.concatenate([block_features(b) for b in pages]))
-    return [np.flatnonzero(x) for x in np.split(label, np.cumsum(sizes)[:-1])]
+    return Judged(pages).main()
+
+
+def is_stuffed(blocks: Sequence[Block]) -> bool:
+    """True when few non-sentence shapes dominate the page's own words."""
+    return Judged([blocks]).stuffed()[0]

@@ -31,7 +31,6 @@ from ..session import cut_lineage, ship_package
 from ..sources.tables import table
 from .mainbody import main_blocks
 from .scan import map_batches, parsed
-from .shapes import is_stuffed
 
 #: Consecutive words of a shingle, and the least similarity of a pair.
 WORDS, SIMILARITY = 3, 0.5
@@ -93,7 +92,7 @@ def signature(h: np.ndarray) -> np.ndarray:
 
 def _bodies(batch: pa.RecordBatch) -> pa.RecordBatch:
     _, pages = parsed(batch)
-    kept = main_blocks([() if is_stuffed(b) else b for b in pages])
+    kept = main_blocks(pages)
     ids: dict[str, int] = {}
     rows, hi, lo, sets, signs = [], [], [], [], []
     for i, (blocks, numbers) in enumerate(zip(pages, kept)):

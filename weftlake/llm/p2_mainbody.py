@@ -14,14 +14,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from ..sources.tables import table
-from .mainbody import main_blocks
+from .mainbody import Judged, main_blocks
 from .scan import map_batches, parsed
-from .shapes import is_stuffed
 
 
 def _main(batch: pa.RecordBatch) -> pa.RecordBatch:
     _, pages = parsed(batch)
-    kept = main_blocks([() if is_stuffed(b) else b for b in pages])
+    kept = main_blocks(pages)
     sizes = [len(k) for k in kept]
     ids = np.repeat(batch.column("crawl_id").to_numpy(zero_copy_only=False), sizes)
     texts = [b[i].text for b, k in zip(pages, kept) for i in k]
@@ -39,7 +38,7 @@ def main_body(crawl: DataFrame) -> DataFrame:
 
 def _numbers(batch: pa.RecordBatch) -> pa.RecordBatch:
     _, pages = parsed(batch)
-    kept = main_blocks([() if is_stuffed(b) else b for b in pages])
+    kept = main_blocks(pages)
     ids = np.repeat(batch.column("crawl_id").to_numpy(zero_copy_only=False), [len(k) for k in kept])
     return pa.RecordBatch.from_arrays(
         [pa.array(ids, pa.int64()), pa.array(np.concatenate(kept), pa.int64())], ["crawl_id", "block_no"]
@@ -54,7 +53,7 @@ def main_body_numbers(crawl: DataFrame) -> DataFrame:
 
 def _stuffed(batch: pa.RecordBatch) -> pa.RecordBatch:
     _, pages = parsed(batch)
-    return batch.select(["crawl_id"]).filter(pa.array([is_stuffed(b) for b in pages], pa.bool_()))
+    return batch.select(["crawl_id"]).filter(pa.array(Judged(pages).stuffed(), pa.bool_()))
 
 
 def stuffed_pages(crawl: DataFrame) -> DataFrame:

@@ -3,9 +3,8 @@
 A page is cut into text blocks in one pass over its tags: comments and the
 elements ``head``, ``script`` and ``style`` go with their content, the tags
 ``a b i em strong span`` leave no trace, every other tag is a boundary.  Each
-block also carries what the classifiers need to know about its surroundings:
-the boundary tag before it, the share of its characters inside links, and the
-number of the container it stands in.
+block also carries the boundary tag before it and the share of its characters
+inside links, which the classifiers need.
 """
 
 from __future__ import annotations
@@ -20,20 +19,15 @@ _DROP = re.compile(
 )
 _TAG = re.compile(r"<(/?)([a-zA-Z][a-zA-Z0-9]*)([^<>]*)>|<[!?][^<>]*>")
 _INLINE = frozenset(("a", "b", "i", "em", "strong", "span"))
-#: A tag of these, opening or closing, always ends the container before it.
-_CONTAINERS = frozenset(
-    "header nav main article section aside footer table tr td th form body".split()
-)
 _LANG = re.compile(r"""<html\b[^>]*?\blang\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
 
 
 class Block(NamedTuple):
-    """One text block: its text and the layout around it."""
+    """One text block: its text, the boundary tag before it, the share of its characters inside links."""
 
     text: str
     tag: str
     link: float
-    container: int
 
 
 def decode(page: bytes | None) -> str:
@@ -54,8 +48,8 @@ def page_blocks(html: str) -> list[Block]:
     """Blocks of a page in page order; ``block_no`` is the list index."""
     out: list[Block] = []
     texts: list[str] = []
-    linked = container = 0
-    in_link = leaf_open = False
+    linked = 0
+    in_link = False
     tag = ""
     parts = _TAG.split(_DROP.sub("", html))
     texts.append(parts[0])
@@ -73,17 +67,12 @@ def page_blocks(html: str) -> list[Block]:
         raw = "".join(texts)
         body = " ".join((unescape(raw) if "&" in raw else raw).split())
         if body:
-            out.append(Block(body, tag, min(1.0, linked / len(body)), container))
-        elif leaf_open and not closing:
-            container += 1
-        if name in _CONTAINERS:
-            container += 1
-        leaf_open = name == "div" and not closing
+            out.append(Block(body, tag, min(1.0, linked / len(body))))
         tag = (closing or "") + name
         in_link = False
         linked = 0
         texts = [text]
     body = " ".join(unescape("".join(texts)).split())
     if body:
-        out.append(Block(body, tag, min(1.0, linked / len(body)), container))
+        out.append(Block(body, tag, min(1.0, linked / len(body))))
     return out

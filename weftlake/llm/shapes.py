@@ -4,7 +4,9 @@ Every line (text block) of a page's own content is reduced to a shape: how many
 words it has, how many of them begin with a capital, how many separators stand
 between them, how much of it is link text, and whether it ends as a sentence
 does.  Lines of one shape are grouped; a page is flagged when a few shapes that
-are no sentences hold most of its words.  One pass over each page, no shuffle.
+are no sentences hold most of its words.  All lines of the page count, wherever
+they stand, but for its furniture, which :mod:`mainbody` tells by word counts
+and link densities of a line and its neighbours.
 """
 
 from __future__ import annotations
@@ -21,8 +23,6 @@ _SEPARATOR = re.compile(r"[,;|/·•–—>»]|\s-\s")
 SENTENCE_WORDS = 5
 #: So many shapes may together make up the flagged share.
 FEW = 3
-#: Share of the own words that the few shapes must exceed.
-SHARE = 0.5
 
 
 class Shape(tuple):
@@ -52,38 +52,18 @@ def shape(text: str, link: float) -> tuple[Shape, int]:
     ), n
 
 
-def heading_index(blocks: Sequence[Block]) -> int:
-    """Block that names the page's subject: the first h1, else the start of the wordiest container."""
-    for i, b in enumerate(blocks):
-        if b.tag == "h1":
-            return i
-    words: Counter = Counter()
-    for b in blocks:
-        words[b.container] += len(b.text)
-    if not words:
-        return 0
-    most = max(words, key=lambda c: (words[c], -c))
-    return next(i for i, b in enumerate(blocks) if b.container == most)
-
-
 def own_shapes(blocks: Sequence[Block]) -> Counter:
-    """Words by shape of a page's own lines: its heading's container below the heading."""
+    """Words by shape of the lines given, headings of pages left out."""
     out: Counter = Counter()
-    if not blocks:
-        return out
-    at = heading_index(blocks)
-    here = blocks[at].container
-    for b in blocks[at + 1 :]:
-        if b.container != here:
-            break
-        kind, n = shape(b.text, b.link)
-        out[kind] += n
+    for b in blocks:
+        if b.tag != "h1":
+            kind, n = shape(b.text, b.link)
+            out[kind] += n
     return out
 
 
-def is_stuffed(blocks: Sequence[Block]) -> bool:
-    """True when few non-sentence shapes dominate the page's own words."""
+def stuffed_share(blocks: Sequence[Block]) -> float:
+    """Share of a page's own words that the :data:`FEW` largest shapes hold that are no sentences."""
     words = own_shapes(blocks)
-    total = sum(words.values())
     bad = sorted((n for s, n in words.items() if not s.sentence), reverse=True)
-    return sum(bad[:FEW]) > SHARE * total if total else False
+    return sum(bad[:FEW]) / max(1, sum(words.values()))

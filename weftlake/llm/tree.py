@@ -8,12 +8,13 @@ import numpy as np
 class Tree:
     """Binary classification tree over numeric features.
 
-    Splits lie halfway between neighbouring values; growth ends when a node is
-    pure, at ``max_depth`` or when no split lowers the impurity.
+    Splits lie halfway between neighbouring values and leave ``min_leaf`` rows
+    on either side; growth ends when a node is pure, at ``max_depth`` or when no
+    split lowers the impurity.
     """
 
-    def __init__(self, max_depth: int = 8) -> None:
-        self.max_depth = max_depth
+    def __init__(self, max_depth: int = 8, min_leaf: int = 1) -> None:
+        self.max_depth, self.min_leaf = max_depth, min_leaf
         self.feature: list[int] = []
         self.cut: list[float] = []
         self.left: list[int] = []
@@ -40,8 +41,7 @@ class Tree:
             self.right[me] = self._grow(x[~low], y[~low], depth + 1)
         return me
 
-    @staticmethod
-    def _best_split(x: np.ndarray, y: np.ndarray) -> tuple[int, float] | None:
+    def _best_split(self, x: np.ndarray, y: np.ndarray) -> tuple[int, float] | None:
         n, total = len(y), y.sum()
         least, best = 2 * total * (n - total) / n - 1e-9, None
         for j in range(x.shape[1]):
@@ -50,7 +50,7 @@ class Tree:
             size = np.arange(1, n)
             rest, rest_hits = n - size, total - hits
             impurity = 2 * hits * (size - hits) / size + 2 * rest_hits * (rest - rest_hits) / rest
-            impurity[v[1:] == v[:-1]] = np.inf
+            impurity[(v[1:] == v[:-1]) | (size < self.min_leaf) | (rest < self.min_leaf)] = np.inf
             k = int(np.argmin(impurity)) if n > 1 else 0
             if n > 1 and impurity[k] < least - 1e-12:
                 least, best = impurity[k], (j, float((v[k] + v[k + 1]) / 2))
