@@ -89,27 +89,55 @@ def test_leaks(spark):
     assert leaks(spark, texts, []) == [] and leaks(spark, [], items) == []
 
 
-def test_leaks_in_blocks(spark, monkeypatch):
-    monkeypatch.setattr(p9_leaks, "BLOCK", 1)
+def test_leaks_by_shuffled_joins(spark, monkeypatch):
+    monkeypatch.setattr(p9_leaks, "BROADCAST_ROWS", 0)
     assert leaks(spark, [(1, ITEM)], [(10, ITEM), (11, ITEM + " more"), (12, "else")]) == [(1, 10), (1, 11)]
 
 
-def test_leaks_with_edits(spark, monkeypatch):
-    monkeypatch.setattr(p9_leaks, "REPETITIONS", 24)
-    monkeypatch.setattr(p9_leaks, "SAMPLED", 6)
-    rng = np.random.default_rng(3)
-    vocabulary = [f"w{i}" for i in range(400)]
-    items = [(i, " ".join(rng.choice(vocabulary, 12))) for i in range(60)]
-    texts = []
-    for i, t in items:
-        w = t.split()
-        w[int(rng.integers(1, 11))] = "changed"
-        texts.append((i, " ".join(w)))
-    found = leaks(spark, texts, items, edits=1)
-    assert len(found) >= 0.9 * len(items) and all(a == b for a, b in found)
+def test_full_filters_lose_nothing(spark, monkeypatch):
+    monkeypatch.setattr(p9_leaks, "FILTER_BITS", 1 << 16)
+    monkeypatch.setattr(p9_leaks, "BITS_EACH", 1)
+    hashes = spark.range(-200_000, 200_000).selectExpr("cast(pmod(id, 2) + 1 as int) as kind", "id * 7919 as hash")
+    held = p9_leaks.filters(hashes, [1, 10, 10**9])
+    for kind in (1, 2):
+        own = np.array([i * 7919 for i in range(-200_000, 200_000) if i % 2 + 1 == kind], np.int64)
+        assert held[kind].passes(own.view(np.uint64)).all()
+    assert not held[0].held.any()
+
+
+def edited(rng, words, edits):
+    words = list(words)
+    for _ in range(edits):
+        kind, at = int(rng.integers(3)), int(rng.integers(len(words)))
+        words[at : at + (kind != 1)] = [str(rng.choice(VOCABULARY)) if rng.random() < 0.5 else "foreign"] if kind < 2 else []
+    return words
+
+
+VOCABULARY = [f"w{i}" for i in range(400)]
+
+
+@pytest.mark.parametrize("edits", [1, 2])
+def test_leaks_with_edits(spark, edits):
+    rng = np.random.default_rng(edits)
+    items = [(i, " ".join(rng.choice(VOCABULARY, 12))) for i in range(300)]
+    texts = [(i, " ".join(["before", *rng.choice(VOCABULARY, 5), *edited(rng, t.split(), edits), *rng.choice(VOCABULARY, 5)])) for i, t in items]
+    true = {(d, i) for d, t in texts for i, own in items if near(own.split(), t.split(), edits)}
+    found = leaks(spark, texts, items, edits=edits)
+    assert set(found) <= true and {(i, i) for i, _ in items} <= true
+    assert len(found) >= 0.95 * len(true)
     assert p9_leaks.edit_distance([1, 2, 3], [1, 3], 2) == 1 and p9_leaks.edit_distance([1, 2, 3], [4, 5, 6], 1) == 2
 
 
+def near(own, text, edits):
+    """Whether some window of the text is within the edits: by the distance's table with free ends."""
+    row = [0] * (len(text) + 1)
+    for i, x in enumerate(own, 1):
+        left, row[0] = row[0], i
+        for j, y in enumerate(text, 1):
+            left, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, left + (x != y))
+    return min(row) <= edits
+
+
 @pytest.fixture(scope="module")
 def hmm():
     return p10_garbled.Labeller(p10_garbled.CharacterModel(lines()[0]))
