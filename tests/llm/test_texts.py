@@ -140,7 +140,7 @@ def near(own, text, edits):
 
 @pytest.fixture(scope="module")
 def hmm():
-    return p10_garbled.Labeller(p10_garbled.CharacterModel(lines()[0]))
+    return p10_garbled.Labeller(p10_garbled.CharacterModel([*lines()[0], *p10_garbled.CENTRAL]))
 
 
 CLEAN = [
@@ -157,18 +157,61 @@ def test_clean_texts(hmm, text):
 RUSSIAN, GERMAN = "Почти всё, что мы знаем о её жизни, взято из писем", "Wir können später über schöne Häuser für Gäste reden"
 
 
-@pytest.mark.parametrize("text, wrote, read", [(GERMAN, "utf-8", r) for r in p10_garbled.READERS if r != "koi8_r"] + [
+def spoil(text, wrote, read):
+    """The text written in one encoding and read in another; bytes that the latter lacks stand for themselves."""
+    raw = text.encode(wrote)
+    if read == "gbk":
+        return raw.decode(read, "replace")
+    return "".join(chr(b) if (c := bytes([b]).decode(read, "replace")) == "\ufffd" else c for b in raw)
+
+
+@pytest.mark.parametrize("text, wrote, read", [(GERMAN, "utf-8", r) for r in p10_garbled.READERS if r not in ("koi8_r", "gbk")] + [
     (RUSSIAN, "utf-8", "cp1251"), (RUSSIAN, "utf-8", "latin-1"), (RUSSIAN, "cp1251", "latin-1"), (RUSSIAN, "koi8_r", "cp1251"),
     ("it’s “so” — done…", "cp1252", "latin-1"), ("it’s “so” — done…", "utf-8", "latin-1"),
 ])
 def test_garbled_texts(hmm, text, wrote, read):
-    spoiled = "".join(chr(b) if (c := bytes([b]).decode(read, "replace")) == "�" else c for b in text.encode(wrote))
+    spoiled = spoil(text, wrote, read)
     spans = hmm.labels(spoiled)
     assert spans and hmm.restore(spoiled, spans) == text
     mixed = f"Some words before. {spoiled} And some after."
     assert hmm.restore(mixed, hmm.labels(mixed)) == f"Some words before. {text} And some after."
 
 
+LATIN = " ".join(t for t, lang in zip(*lines()) if lang in ("de", "fr", "es", "pt") and not t.isascii())
+CYRILLIC = " ".join(t for t, lang in zip(*lines()) if lang == "ru")
+POLISH = " ".join(p10_garbled.CENTRAL[:5])
+ORIGINALS = {"cp1251": CYRILLIC, "koi8_r": CYRILLIC, "cp866": CYRILLIC, "iso8859_5": CYRILLIC, "cp1250": POLISH, "iso8859_2": POLISH}
+
+
+@pytest.mark.parametrize("wrote, read", [*(("utf_8", r) for r in p10_garbled.READERS), *p10_garbled.PAIRS])
+def test_originals_of_every_pair(hmm, wrote, read):
+    text = ORIGINALS.get(wrote, CYRILLIC if read == "koi8_r" else LATIN)
+    text = text if read != "latin_1" else text.replace("'", "’").replace(" ", " – ", 9)
+    text = text.encode(wrote, "ignore").decode(wrote)
+    spoiled = spoil(text, wrote, read)
+    restored = hmm.restore(spoiled, hmm.labels(spoiled))
+    if "gbk" in read:  # bytes that begin no character of two bytes are lost
+        assert sum(a != b for a, b in zip(restored.split(), text.split())) < sum(a != b for a, b in zip(spoiled.split(), text.split())) / 2
+    else:
+        wrong = sum(a != b for a, b in zip(restored, text)) / sum(a != b for a, b in zip(spoiled, text)) if len(restored) == len(text) else 1
+        assert wrong <= 0.03
+
+
+def test_spans_begin_and_end_within_runs(hmm):
+    for before, after in (("Москва—", ""), ("«", "»"), ("", "—да"), ("“", "”")):
+        spoiled = before + spoil(RUSSIAN, "utf-8", "cp1251") + after
+        assert hmm.restore(spoiled, hmm.labels(spoiled)) == before + RUSSIAN + after
+    assert hmm.names(hmm.labels(spoil(RUSSIAN, "iso8859_5", "cp1251"))) == ["iso8859_5>cp1251"]
+    assert hmm.names(hmm.labels(spoil(GERMAN, "utf-8", "gbk"))) == ["utf_8>gbk"]
+
+
+def test_unlikely_originals_are_left_alone(hmm):
+    for name in ("cp866>cp1251", "koi8_r>cp1251", "cp1251>koi8_r"):
+        label = [x.name for x in hmm.states].index(name) + 1
+        assert hmm.states[label - 1].inverse("Привет") not in (None, "Привет")
+        assert hmm.restore("Привет мир", [(0, 6, label)]) == "Привет мир"
+
+
 def test_lost_and_twice(hmm):
     assert hmm.names(hmm.labels("f�r G�ste")) == ["lost"]
     twice = GERMAN.encode().decode("cp1252").encode().decode("cp1252")
