@@ -5,7 +5,7 @@ written for this purpose, always the same ones: menus, cookie notices, sidebars
 and footers around an article, or around a heap of keywords, links or tags.
 Articles stand in one container or in several, with a sidebar before, after or
 in the midst of them; some have long paragraphs, some paragraphs of a single
-sentence.  :data:`PAGES` bounds the table, which has some thirty thousand blocks.
+sentence.  :data:`PAGES` bounds the table, which has some twenty thousand blocks.
 """
 
 from __future__ import annotations
@@ -18,7 +18,7 @@ from .pages import Block
 from .prose import lines
 
 #: Pages of the table.
-PAGES = 1280
+PAGES = 960
 #: What a block is: furniture of the page, something said among the content, main body, stuffing.
 FURNITURE, ASIDE, MAIN, STUFFING = range(4)
 
@@ -26,7 +26,7 @@ _MENU = "Start|Hilfe|Karte|Sign in|Weather|Tous les sujets|Главная|Buscar
 _HEADS = "Others also read|Les mieux notés|Читайте также|Anzeige|Meistgelesen|Para seguir leyendo|Announcements|Zie ook|More from the same shelf|Que leer después de esto|Anche questo".split("|")
 _NOTICES = (
     "We use small files called cookies to make the site work.",
-    "You can read more about them, and change what you chose, at any time below. Nothing else is kept.",
+    "You can read more about them below at any time. Nothing else is kept.",
     "Diese Seite verwendet Cookies, damit sie besser bedient werden kann.",
     "Nous mesurons le nombre de visites à l'aide de petits fichiers appelés cookies.",
     "Si sigue leyendo, acepta que guardemos algunos datos.",
@@ -72,7 +72,7 @@ class _Writer:
     def sentence(self) -> str:
         """A sentence, at times only its last words."""
         text = self.rng.choice(self.prose)
-        return " ".join(text.split()[-self.rng.randint(8, 14) :]) if self.rng.random() < 0.5 else text
+        return " ".join(text.split()[-self.rng.randint(9, 14) :]) if self.rng.random() < 0.5 else text
 
     def sentences(self, least: int, most: int) -> str:
         return " ".join(self.sentence() for _ in range(self.rng.randint(least, most)))
@@ -161,7 +161,7 @@ class _Writer:
         form = rng.random()
         if form < 0.35:
             linked = rng.random() < 0.5
-            out = [(STUFFING, "li", 1 if linked else self.some_link(), " ".join(word() for _ in range(rng.randint(3, 6)))) for _ in range(rng.randint(14, 40))]
+            out = [(STUFFING, "li", 1 if linked else self.some_link(), " ".join(word() for _ in range(rng.randint(2, 6)))) for _ in range(rng.randint(14, 40))]
         elif form < 0.5:
             tag = rng.choice(("p", "div", "td", "br"))
             out = [(STUFFING, tag, self.some_link(), " ".join(word() for _ in range(rng.randint(4, 12)))) for _ in range(rng.randint(8, 40))]

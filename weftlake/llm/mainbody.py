@@ -29,9 +29,12 @@ from .tree import Tree
 
 _SENTENCE = re.compile(r"[.!?…。][\"'»”’)\]]*(?:\s|$)")
 _CLOSED = re.compile(r"[.!?…。][\"'»”’)\]]*$")
+_ENDINGS = frozenset(".!?…。\"'»”’)]")
 #: Kinds of boundary tags; all others are 0, plain text.
 _KIND = {"button": -1, "small": -1, "li": 1, "dd": 1, "blockquote": 2, "h6": 3, "h5": 3, "h4": 3, "h3": 3, "h2": 4, "h1": 5}
-FEATURES = "words sentences link words_before words_after link_before link_after sentences_before sentences_after kind under run share longest".split()
+FEATURES = "words sentences link words_before words_after link_before link_after sentences_before sentences_after kind under run share longest deepest".split()
+#: Words a sentence of prose has at least, on average.
+PACE = 9
 #: Share of a page's own words in few non-sentence shapes beyond which it is stuffed.
 STUFFED = 0.5
 
@@ -42,32 +45,38 @@ def block_features(blocks: Sequence[Block]) -> np.ndarray:
     ``under`` is 1 below the page's h1 or in a page without, 2 below a later h2
     and 3 below a later lower heading; before the h1 it is less by 3; ``run`` counts the neighbours of the
     same kind that are linked alike; ``longest`` are the words of the page's
-    longest block that ends as a sentence does, ``share`` the block's in these.
+    longest block that ends as a sentence does, ``share`` the block's in these;
+    ``deepest`` are the most sentences of a plain block that has :data:`PACE`
+    words a sentence, which tells pages of paragraphs from pages of single lines.
     """
     n = len(blocks)
     x = np.zeros((n, len(FEATURES)))
     if not n:
         return x
+    words, sentences, kinds, unders = [], [], [], []
     under = -2 if any(b.tag == "h1" for b in blocks) else 1
-    longest, first = 1, 0
-    for i, b in enumerate(blocks):
-        words = b.text.count(" ") + 1
-        kind = _KIND.get(b.tag, 0)
-        if kind == 5:
-            under = 1
-        elif kind in (3, 4):
-            under = (6 if under > 0 else 3) - kind
-        x[i, 0], x[i, 2], x[i, 9], x[i, 10] = words, b.link, kind, under
-        if _CLOSED.search(b.text, max(0, len(b.text) - 6)):
-            x[i, 1] = len(_SENTENCE.findall(b.text))
-            if b.link < 0.5:
-                longest = max(longest, words)
-        if i and (kind != x[i - 1, 9] or (b.link >= 0.5) != (x[i - 1, 2] >= 0.5)):
-            x[first:i, 11] = i - first
-            first = i
-    x[first:, 11] = n - first
+    longest, deepest = 1, 0
+    for text, tag, link in blocks:
+        size, told, kind = text.count(" ") + 1, 0, _KIND.get(tag, 0)
+        if kind > 2:
+            under = 1 if kind == 5 else (6 if under > 0 else 3) - kind
+        if text[-1] in _ENDINGS and _CLOSED.search(text, max(0, len(text) - 6)):
+            told = len(_SENTENCE.findall(text))
+            if link < 0.5:
+                longest = max(longest, size)
+                if not kind and size >= PACE * told:
+                    deepest = max(deepest, told)
+        words.append(size)
+        sentences.append(told)
+        kinds.append(kind)
+        unders.append(under)
+    x[:, 0], x[:, 1], x[:, 2] = words, sentences, [b.link for b in blocks]
+    x[:, 9], x[:, 10] = kinds, unders
+    alike = x[:, 9] * 2 + (x[:, 2] >= 0.5)
+    number = np.cumsum(np.concatenate([[0], alike[1:] != alike[:-1]]))
+    x[:, 11] = np.bincount(number)[number]
     x[:, 12] = np.minimum(1, x[:, 0] / longest)
-    x[:, 13] = longest
+    x[:, 13], x[:, 14] = longest, deepest
     for own, before in ((0, 3), (2, 5), (1, 7)):
         x[1:, before], x[:-1, before + 1] = x[:-1, own], x[1:, own]
     return x
