@@ -109,7 +109,7 @@ class _Writer:
 
     def footer(self) -> list[tuple]:
         out = [(FURNITURE, self.rng.choice(("p", "div", "small")), 0, x) for x in self.rng.sample(_FEET, self.rng.randint(1, 3))]
-        if self.rng.random() < 0.3:
+        if self.rng.random() < 0.2:
             out.append((FURNITURE, "p", self.rng.choice((0, 0.05)), self.sentences(1, 1)))
         return out
 
@@ -190,7 +190,7 @@ def _ordered(w: _Writer, content: list[tuple]) -> list[tuple]:
             content = content[:at] + side + content[at:]
         else:
             (before if place < 0.45 else after).append(side)
-    if rng.random() < 0.8:
+    if rng.random() < 0.65:
         after.append(w.footer())
     rng.shuffle(before)
     rng.shuffle(after)
