@@ -31,10 +31,18 @@ A, B = "https://foo.com:8000/bar/xyz.html", "https://foo.com:8000/bar/foo/xyz.ht
         (A, "", None),
         (A, None, None),
         (None, "/a", None),
+        (A, "./x/./y/..", "https://foo.com:8000/bar/x/"),
+        (A, "a b", None),
+        (A, "http:x", None),
+        (A, "?q", "https://foo.com:8000/bar/?q"),
+        ("nothing", "/a", None),
+        ("http://h", "x", "http://h:80/x"),
+        (A, "HTTPS://Else.org?x", "https://else.org?x:443/"),
     ],
 )
-def test_resolved(base, href, want):
-    assert U.resolved(base, href) == want
+def test_resolved(spark, base, href, want):
+    row = spark.createDataFrame([(base, href)], "base string, href string")
+    assert row.select(U.resolve(F.col("base"), F.col("href"))).first()[0] == want
 
 
 @pytest.mark.parametrize(

@@ -40,6 +40,57 @@ def test_crawl_with_robots(spark):
     assert got == {("/", 0, True), ("/a", 1, True), ("/b", 2, False)}
 
 
+def web(spark):
+    page = lambda *links, lang="en": bytearray(f"<html lang='{lang}'><title>T</title>{''.join(f'<a href={x}>x</a>' for x in links)}".encode())
+    rows = [
+        ("http://a.test:80/", 200, "text/html", page("/1", "/2", "/3", "//b.test/", "/p.png", "http://de.wikipedia.org/x"), None),
+        ("http://a.test:80/1", 301, None, None, "/new"),
+        ("http://a.test:80/new", 200, "TEXT/html; x", page("/", "/gone"), None),
+        ("http://a.test:80/2", 200, "text/html", page("/never", lang="de"), None),
+        ("http://a.test:80/3", 200, "application/pdf", page("/never"), None),
+        ("http://a.test:80/gone", 404, "text/html", page("/never"), None),
+        ("http://b.test:80/", 200, "text/html", page("/secret", "http://c.ru/"), None),
+        ("http://b.test:80/secret", 200, "text/html", page(), None),
+        ("http://c.ru:80/", 302, None, None, "/loop"),
+        ("http://c.ru:80/loop", 302, None, None, "/"),
+    ]
+    return spark.createDataFrame([(u, c, t, 5, p, to) for u, c, t, p, to in rows], "url string, responsecode int, contenttype string, length int, page binary, location string")
+
+
+def test_whole_crawl(spark):
+    rules = spark.createDataFrame([("b.test", "User-agent: *\nDisallow: /secret")], "host string, body string")
+    seeds = spark.createDataFrame([("HTTP://A.test",), ("mailto:x",), (None,)], "url string")
+    ticks = iter(range(0, 10**9, 1000))
+    rows = {r.url: r for r in crawl.Crawler(crawl.from_table(web(spark)), rules, round_ms=1000, clock=ticks.__next__, min_rows=0).run(seeds).collect()}
+    short = {u.replace(":80", "")[7:]: (r.responsecode, r.page is not None, r.title) for u, r in rows.items()}
+    assert short == {
+        "a.test/": (200, True, "T"), "a.test/1": (301, False, None), "a.test/new": (200, True, "T"), "a.test/2": (200, False, None),
+        "a.test/3": (200, False, None), "a.test/gone": (404, False, None), "b.test/": (200, True, "T"), "c.ru/": (302, False, None), "c.ru/loop": (302, False, None),
+    }
+    rounds = sorted(r["round"] for u, r in rows.items() if "a.test" in u and u != "http://a.test:80/gone")
+    assert len(set(rounds)) == len(rounds)  # one fetch of a host a round
+    assert crawl.Crawler(crawl.from_table(web(spark))).run(seeds.limit(0)).count() == 0
+
+
+def test_hosts_rest_between_rounds(spark):
+    ticks = iter(range(0, 10**9, 400))
+    page = bytearray(b"<html lang='en'><a href=/1><a href='http://b.test/'>")
+    pages = spark.createDataFrame([("http://a.test:80/", page), ("http://a.test:80/1", page), ("http://b.test:80/", page)], "url string, page binary")
+    answers = pages.selectExpr("url", "200 as responsecode", "'text/html' as contenttype", "1 as length", "page", "cast(null as string) as location")
+    seeds = spark.createDataFrame([("http://a.test/",)], "url string")
+    crawler = crawl.Crawler(crawl.from_table(answers), round_ms=400, clock=ticks.__next__, min_rows=10, rescans=1)
+    rounds = {r.url: r["round"] for r in crawler.run(seeds).collect()}
+    assert rounds == {"http://a.test:80/": 0, "http://b.test:80/": 1, "http://a.test:80/1": 3}  # three rounds make up the delay
+
+
+def test_rescan(spark):
+    stored = spark.createDataFrame(
+        [("http://a.test:80/", bytearray(b"<a href=/x><a href=/y.pdf><a href='http://z.ru/'><a href=/z?page=2><a href=/b><a href=/c>")), ("http://a.test:80/b", bytearray(b"p")), ("http://a.test:80/c", None)],
+        "url string, page binary",
+    )
+    assert sorted(r.url for r in crawl.rescan(stored).collect()) == ["http://a.test:80/c", "http://a.test:80/x"]
+
+
 def test_inverted_spreads_frequent_tokens(spark, monkeypatch):
     monkeypatch.setattr(indexes, "MAX_POSTINGS", 10)
     pairs = spark.createDataFrame([("t", f"u{i}") for i in range(95)] + [("s", "u1")], "token string, url string")
@@ -69,6 +120,19 @@ def test_redundant_rows(spark):
     assert skew.redundant_rows(index(spark, [])).count() == 0
 
 
+def test_moments_order_as_pairs(spark):
+    from datetime import datetime
+
+    from pyspark.sql import functions as F
+
+    times = [None, datetime(1, 1, 2), datetime(1969, 12, 31, 23, 59, 59, 999999), datetime(1970, 1, 1), datetime(2024, 5, 6, 7, 8, 9, 123456), datetime(9999, 12, 30)]
+    ids = [None, -(2**63), -1, 0, 1, 2**63 - 1]
+    rows = spark.createDataFrame([(n, t, i) for n, (t, i) in enumerate((t, i) for t in times for i in ids)], "n int, t timestamp, i bigint")
+    m = rows.withColumn("m", skew.moment(F.col("t"), F.col("i"))).withColumn("back", (skew.moment_time(F.col("m")).eqNullSafe(F.col("t"))) & skew.moment_row(F.col("m")).eqNullSafe(F.col("i")))
+    got = m.orderBy("m").collect()
+    assert [r.n for r in got] == list(range(len(times) * len(ids))) and all(r.back for r in got)
+
+
 def test_join_by_key_matches_plain_join(spark):
     from pyspark.sql import functions as F
 

@@ -2,13 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from urllib.parse import urlsplit
+from collections.abc import Callable
 
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
 
 _PARTED = r"(?s)^(?!//).+?//"
 
@@ -18,24 +15,43 @@ OTHER_PROTOCOLS = ("irc:", "javascript:", "mailto:", "tel:", "ftp:", "file:", "n
 SKIPPED_ENDINGS = ("jpg", "jpeg", "gif", "png", "txt")
 # Status codes that redirect.
 REDIRECTS = (301, 302, 303, 307, 308)
-# Families of wiki hosts, and hosts of social networks with and without www.
-WIKI_FAMILY = tuple(f".wiki{x}.org" for x in "pedia books quote news voyage versity data media".split()) + (".wiktionary.org",)
-SOCIAL = "facebook instagram linkedin pinterest reddit tiktok twitter youtube".split()
-SOCIAL_HOSTS = tuple(f"{w}{s}.com" for s in SOCIAL for w in ("", "www.")) + ("x.com",)
-# What a rescan of stored pages skips, by part of the url.
-HOST_CONTAINS = """
-4chan.org adage.com adserver. airbnb. amazon. archive.org autotrader. b-cdn.net baidu. bing. bit.ly blogspot. booking.
-cambridge.org clickserve. cloudfront.net core.ac.uk discord.com dl.acm.org doi.org doubleclick. doubleverify. ezinearticles.
-facebook. fandom.com feedburner. google. googletagmanager. googletagservices. gstatic. hubpages.com instagram. jstor.org kakao.
-lnkd.in mailchi.mp medium.com miraheze. naver. newyorker.com nytimes.com oxfordhandbooks. plato.stanford.edu qq. realtor.
-reddit.com semanticscholar slate.com stackexchange. stackoverflow. t.co tempo.co tiktok. tinyurl tribunnews.com tripadvisor.
-tumblr.com twitter. usatoday. vox.com wayback web.archive.org wiki.gg wikidot. wikihow. wikipedia-on-ipfs wikiwand. wordpress.com
-worldbank.org yahoo. youtube. zillow.
-""".split()
-HOST_ENDS = ".cn .id .ir .jp .kr .ru .th .tr .vn".split()
-HOST_ENDS_UNLESS_ENGLISH = [f".wiki{x}.org" for x in "books data news pedia quote source versity voyage".split()] + [".wiktionary.org"]
-URL_ENDS = ".7z .epub .gif .gz .jpeg .jpg .pdf .png .rar .svg .tar .zip".split()
-URL_CONTAINS = "?page= &page= ?search= ?query= &offset= &start=".split()
+# Endings of the hosts of the wiki family.
+WIKI_FAMILY = (
+    ".wikipedia.org", ".wiktionary.org", ".wikiquote.org", ".wikibooks.org", ".wikinews.org", ".wikivoyage.org", ".wikiversity.org",
+    ".wikidata.org", ".wikimedia.org",
+)
+# Hosts of social networks.
+SOCIAL_HOSTS = (
+    "facebook.com", "www.facebook.com", "instagram.com", "www.instagram.com", "linkedin.com", "www.linkedin.com", "pinterest.com",
+    "www.pinterest.com", "reddit.com", "www.reddit.com", "tiktok.com", "www.tiktok.com", "twitter.com", "www.twitter.com", "x.com",
+    "youtube.com", "www.youtube.com",
+)
+# What a rescan of stored pages skips: parts of hosts.
+HOST_CONTAINS = (
+    "4chan.org", "adage.com", "adserver.", "airbnb.", "amazon.", "archive.org", "autotrader.", "b-cdn.net", "baidu.", "bing.", "bit.ly",
+    "blogspot.", "booking.", "cambridge.org", "clickserve.", "cloudfront.net", "core.ac.uk", "discord.com", "dl.acm.org", "doi.org",
+    "doubleclick.", "doubleverify.", "ezinearticles.", "facebook.", "fandom.com", "feedburner.", "google.", "googletagmanager.",
+    "googletagservices.", "gstatic.", "hubpages.com", "instagram.", "jstor.org", "kakao.", "lnkd.in", "mailchi.mp", "medium.com",
+    "miraheze.", "naver.", "newyorker.com", "nytimes.com", "oxfordhandbooks.", "plato.stanford.edu", "qq.", "realtor.", "reddit.com",
+    "semanticscholar", "slate.com", "stackexchange.", "stackoverflow.", "t.co", "tempo.co", "tiktok.", "tinyurl", "tribunnews.com",
+    "tripadvisor.", "tumblr.com", "twitter.", "usatoday.", "vox.com", "wayback", "web.archive.org", "wiki.gg", "wikidot.", "wikihow.",
+    "wikipedia-on-ipfs", "wikiwand.", "wordpress.com", "worldbank.org", "yahoo.", "youtube.", "zillow.",
+)
+# Endings of hosts that a rescan skips.
+HOST_ENDS = (".cn", ".id", ".ir", ".jp", ".kr", ".ru", ".th", ".tr", ".vn")
+# Endings of hosts that a rescan skips unless they begin with "en.".
+HOST_ENDS_UNLESS_ENGLISH = (
+    ".wikibooks.org", ".wikidata.org", ".wikinews.org", ".wikipedia.org", ".wikiquote.org", ".wikisource.org", ".wikiversity.org",
+    ".wikivoyage.org", ".wiktionary.org",
+)
+# Endings and parts of urls that a rescan skips.
+URL_ENDS = (".7z", ".epub", ".gif", ".gz", ".jpeg", ".jpg", ".pdf", ".png", ".rar", ".svg", ".tar", ".zip")
+URL_CONTAINS = ("?page=", "&page=", "?search=", "?query=", "&offset=", "&start=")
+
+
+def bound(value: Column, f: Callable[[Column], Column]) -> Column:
+    """``f`` of a value that is worked out once, however often ``f`` uses it."""
+    return F.element_at(F.transform(F.array(value), f), 1)
 
 
 def url_parts(url: Column) -> Column:
@@ -75,7 +91,10 @@ def strict_path(url: Column) -> Column:
 
 def normal_url(url: Column) -> Column:
     """Scheme and host in lower case, the port named, a path, no fragment; http where no scheme is."""
-    p = url_parts(url)
+    return _from_parts(url_parts(url))
+
+
+def _from_parts(p: Column) -> Column:
     scheme = F.lower(F.when((p["scheme"] != ""), p["scheme"]).otherwise("http"))
     port = F.coalesce(p["port"].try_cast("int"), F.when(scheme == "https", 443).otherwise(80))
     path = F.when(p["path"].startswith("/"), p["path"]).otherwise(F.concat(F.lit("/"), p["path"]))
@@ -116,7 +135,7 @@ def is_foreign_wikipedia(url: Column) -> Column:
     return F.coalesce(h.contains("wikipedia.org") & ~first.isin("en", "www"), F.lit(False))
 
 
-def _quoted(parts: list[str]) -> str:
+def _quoted(parts: tuple[str, ...]) -> str:
     return "|".join(p.replace(".", r"\.").replace("?", r"\?") for p in parts)
 
 
@@ -150,7 +169,7 @@ def top_domain(host_name: Column) -> Column:
 
 def is_wiki_family(host_name: Column) -> Column:
     """Hosts of the wiki family."""
-    return host_name.rlike(f"(?:{_quoted(list(WIKI_FAMILY))})$")
+    return host_name.rlike(f"(?:{_quoted(WIKI_FAMILY)})$")
 
 
 def is_social(host_name: Column) -> Column:
@@ -170,77 +189,49 @@ def url_flags(url: Column) -> Column:
     )
 
 
-def _merged(base_path: str, path: str) -> str:
-    """``path`` set against ``base_path``, dot segments folded; ``..`` that lead above the root stay."""
-    whole = path if path.startswith("/") else base_path[: base_path.rfind("/") + 1] + path
-    out: list[str] = []
-    parts = whole.split("/")
-    for i, part in enumerate(parts):
-        last = i == len(parts) - 1
-        if part == ".":
-            if last:
-                out.append("")
-        elif part == ".." and len(out) > 1 and out[-1] != "..":
-            out.pop()
-            if last:
-                out.append("")
-        else:
-            out.append(part)
-    return "/".join(out)
-
-
-def resolved(base: str | None, href: str | None) -> str | None:
-    """``href`` as an absolute normal url on a page at ``base``; None for what leads to no page.
+def _folded(path: Column) -> Column:
+    """A path without dot segments; ``..`` segments that lead above the root stay."""
+    parts = F.split(path, "/")
+    ends = F.transform(parts, lambda p, i: F.struct(p.alias("part"), (i == F.size(parts) - 1).alias("last")))
+
+    def step(done: Column, x: Column) -> Column:
+        closed = lambda kept: F.when(x["last"], F.array_append(kept, F.lit(""))).otherwise(kept)
+        back = (x["part"] == "..") & (F.size(done) > 1) & (F.element_at(done, -1) != "..")
+        return (
+            F.when(x["part"] == ".", closed(done))
+            .when(back, closed(F.slice(done, 1, F.size(done) - 1)))
+            .otherwise(F.array_append(done, x["part"]))
+        )
+
+    return F.array_join(F.aggregate(ends, F.array().cast("array<string>"), step), "/")
+
+
+def resolve(base: Column, href: Column) -> Column:
+    """``href`` as an absolute normal url on a page at ``base``; null for what leads to no page.
 
     Links with another protocol anywhere in them, or any other word before
-    their first colon, are none.  Surplus ``..`` segments stay in the path, and
-    a bare query replaces the last segment of the base's path.
+    their first colon, are none; nor are links with blanks or signs that no url
+    may hold.  Surplus ``..`` segments stay in the path, and a bare query
+    replaces the last segment of the base's path.
     """
-    if not href or base is None:
-        return None
-    if href.startswith("#"):
-        return _normal(base)
-    low = href.lower().strip()
-    if any(p in low for p in OTHER_PROTOCOLS) or (":" in low and low.split(":")[0].strip() not in ("", "http", "https")):
-        return None
-    if any(c.isspace() or c in '<>"{}|\\^`' for c in href):
-        return None
-    if href.startswith("//"):
-        scheme = base.split("//", 1)[0].rstrip(":").lower() if "//" in base else "http"
-        href = f"{scheme or 'http'}:{href}"
-    try:
-        b, h = urlsplit(base), urlsplit(href)
-        if h.scheme:
-            return _normal(href) if h.scheme.lower() in ("http", "https") and h.netloc else None
-        if b.scheme.lower() not in ("http", "https") or not b.netloc:
-            return None
-    except ValueError:
-        return None
-    query = f"?{h.query}" if "?" in href.split("#", 1)[0] else ""
-    path = _merged(b.path or "/", h.path)
-    return _normal(f"{b.scheme}://{b.netloc}{path}{query}")
-
-
-def _normal(url: str) -> str:
-    """The normal form of :func:`normal_url` for one url."""
-    scheme, host_name, port, path = "http", "", "", url
-    at = url.find("//", 1)
-    if at > 0:
-        scheme = url[: at - 1].lower() or "http"
-        authority, slash, rest = url[at + 2 :].partition("/")
-        path = slash + rest or "/"
-        host_name, colon, number = authority.partition(":")
-        if colon and host_name:
-            port = number
-        else:
-            host_name = authority
-    port = port if port.isdigit() else "443" if scheme == "https" else "80"
-    path = path.split("#", 1)[0]
-    return f"{scheme}://{host_name.lower()}:{int(port)}{path if path.startswith('/') else '/' + path}"
-
-
-@F.pandas_udf(StringType())
-def resolve(pairs: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-    """Column form of :func:`resolved`: base, href."""
-    for base, href in pairs:
-        yield pd.Series([resolved(b, h) for b, h in zip(base, href)], dtype=object)
+    low = F.lower(F.trim(href))
+    word = F.trim(F.split_part(low, F.lit(":"), F.lit(1)))
+    other = low.rlike("|".join(OTHER_PROTOCOLS)) | (low.contains(":") & ~word.isin("", "http", "https"))
+    barred = href.rlike(r"""[\s<>"{}|\\^`]""")
+    scheme = F.lower(F.regexp_extract(base, r"^([^:/?#]*):?//", 1))
+    own = F.when(href.startswith("//"), F.concat(F.when(scheme == "", "http").otherwise(scheme), F.lit(":"), href)).otherwise(href)
+    site = F.regexp_extract(base, r"(?i)^(https?://[^/?#]+)", 1)
+    base_path = F.regexp_extract(base, r"(?i)^https?://[^/?#]+([^?#]*)", 1)
+    path, query = F.regexp_extract(own, r"^([^?#]*)", 1), F.regexp_extract(own, r"^[^?#]*(\?[^#]*)", 1)
+    folder = F.regexp_extract(F.when(base_path == "", "/").otherwise(base_path), "(?s)^(.*/)", 1)
+    whole = F.when(path.startswith("/"), path).otherwise(F.concat(folder, path))
+    folded = F.when(whole.contains("/."), _folded(whole)).otherwise(whole)
+    absolute = (
+        F.when(href.isNull() | base.isNull() | (href == ""), None)
+        .when(href.startswith("#"), base)
+        .when(other | barred, None)
+        .when(own.rlike("(?i)^https?://[^/?#]+"), own)
+        .when(own.rlike("(?i)^https?:") | (site == ""), None)
+        .otherwise(F.concat(site, folded, query))
+    )
+    return bound(absolute, lambda url: bound(url_parts(url), _from_parts))

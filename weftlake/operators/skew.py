@@ -3,7 +3,9 @@
 Two devices, both exact.  Algebraic aggregates are left to Catalyst's two-phase
 hash aggregation: every task folds its rows into a bounded hash table of
 mergeable states (falling back to sorting, hence spilling, when full), so a hot
-key costs one state per task in the shuffle, not one row per record.  Joins
+key costs one state per task in the shuffle, not one row per record.  For that
+a state must be of fixed width: a time and a row id go into one number (see
+:func:`moment`), as a struct of them would be aggregated by sorting.  Joins
 back to the rows split off the hot keys, which are few by counting: at most
 ``n`` keys can each hold more than one ``n``-th of all rows, whatever the data.
 """
@@ -55,6 +57,36 @@ def counted_token(token: str | Column = "token") -> Column:
     return F.when(text != "", text)
 
 
+#: Row ids, null among them, that one microsecond has room for in a moment.
+_IDS = 2 * 10**19
+#: Microseconds that stand for no time at all, before every time there is.
+_NO_TIME = -(10**18)
+
+
+def moment(time: Column, row_id: Column) -> Column:
+    """One number, decimal(38, 0), that orders as the pair of a time and a row id (bigint) does, nulls first.
+
+    A time without zone is read in the session's zone.
+    """
+    wide = lambda c: c.cast("decimal(20,0)")
+    at = wide(F.coalesce(F.unix_micros(time.cast("timestamp")), F.lit(_NO_TIME)))
+    place = F.coalesce(wide(row_id) + F.lit(str(2**63 + 1)).cast("decimal(20,0)"), F.lit(0).cast("decimal(20,0)"))
+    return (at * F.lit(str(_IDS)).cast("decimal(20,0)") + place).cast("decimal(38,0)")
+
+
+def moment_row(moment: Column) -> Column:
+    """The row id of a moment."""
+    place = F.pmod(moment, F.lit(str(_IDS)).cast("decimal(38,0)"))
+    return F.when(place > 0, (place - F.lit(str(2**63 + 1)).cast("decimal(38,0)")).cast("bigint"))
+
+
+def moment_time(moment: Column) -> Column:
+    """The time of a moment."""
+    ids = F.lit(str(_IDS)).cast("decimal(38,0)")
+    micros = F.call_function("div", moment - F.pmod(moment, ids), ids)
+    return F.when(micros != _NO_TIME, F.timestamp_micros(micros))
+
+
 def first_holders(index: DataFrame) -> DataFrame:
     """Which posting first brought each url to its token, in order of time.
 
@@ -64,13 +96,14 @@ def first_holders(index: DataFrame) -> DataFrame:
     is algebraic, so a token with a third of all rows only sends one state for
     each url and task.
     """
+    kind = index.schema["indexed_at"].dataType
     pairs = index.select(
         counted_token().alias("token"),
         F.explode("urls").alias("url"),
-        F.struct("indexed_at", "row_id").alias("at"),
+        moment(F.col("indexed_at"), F.col("row_id")).alias("at"),
     ).where("token is not null and url is not null")
     first = pairs.groupBy("token", "url").agg(F.min("at").alias("at"))
-    return first.select("token", "url", "at.indexed_at", "at.row_id")
+    return first.select("token", "url", moment_time(F.col("at")).cast(kind).alias("indexed_at"), moment_row(F.col("at")).alias("row_id"))
 
 
 def redundant_rows(index: DataFrame) -> DataFrame:

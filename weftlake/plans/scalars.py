@@ -57,7 +57,7 @@ def url_patterns(spark, sf):
 
 def url_resolved(spark, sf):
     links = _pages(spark, sf, "url").where("url is not null").select("url", F.explode(H.links(_html())).alias("href")).distinct()
-    return links.select("url", "href", U.resolve("url", "href").alias("target"))
+    return links.select("url", "href", U.resolve(F.col("url"), F.col("href")).alias("target"))
 
 
 def html_title(spark, sf):
