@@ -24,7 +24,10 @@ def index(spark, rows):
 
 def test_terms(spark):
     rows = [("a", ["u", "v"]), (" A", ["u", "u", None]), ("b", ["v", "w"]), ("B ", ["x"]), (None, ["u"]), (" ", ["u"]), ("c", None), ("c", []), ("solo", ["w"])]
-    found = {tuple(r) for r in p3_terms.telling_terms(index(spark, rows)).collect()}
+    best = p3_terms.telling_terms(index(spark, rows)).collect()
+    found = {(r.url, r.token) for r in best}
+    assert {(r.url, r.tf, r.df) for r in best} == {("u", 3, 2), ("v", 1, 2), ("w", 1, 3), ("x", 1, 3)}
+    assert all(r.weight == pytest.approx(r.tf * (np.log(5 / (1 + r.df)) + 1)) for r in best)
     assert found == {("u", "a"), ("v", "a"), ("w", "b"), ("x", "b")}
     weights = {(r.url, r.token): r for r in p3_terms.term_weights(index(spark, rows)).collect()}
     assert weights["u", "a"].tf == 3 and weights["u", "a"].df == 2 and weights["u", "a"].weight == pytest.approx(1.0)
