@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import uuid
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import shared_folder
 from ..sources import kvstore as K
 from ..sources.tables import table
 
@@ -26,16 +30,47 @@ def _delta(spark, sf):
     )
 
 
+def _cells(rows: DataFrame) -> DataFrame:
+    """Rows of named columns as rows of the store; null cells are none."""
+    cells = F.map_from_arrays(F.array(*map(F.lit, COLUMNS)), F.array(*(F.encode(c, "utf-8") for c in COLUMNS)))
+    return rows.select("key", F.map_filter(cells, lambda _, v: v.isNotNull()).alias("cols"))
+
+
+def _columns(rows: DataFrame) -> DataFrame:
+    """Rows of the store as rows of named columns."""
+    return rows.select("key", *(F.try_element_at("cols", F.lit(c)).cast("string").alias(c) for c in COLUMNS))
+
+
+def _store(spark, sf) -> K.KvStore:
+    """A store of its own with the customers as the table ``c``."""
+    store = K.KvStore(spark, f"{shared_folder(spark)}/kv-{uuid.uuid4().hex}")
+    store.write("c", _cells(_base(spark, sf)))
+    return store
+
+
 def kv_put_cell(spark, sf):
-    return K.merge_cells(_base(spark, sf), _delta(spark, sf), "key", COLUMNS)
+    store = _store(spark, sf)
+    store.put("c", _cells(_delta(spark, sf)))
+    return _columns(store.read("c"))
 
 
 def kv_put_row(spark, sf):
-    return K.replace_rows(_base(spark, sf), _delta(spark, sf), "key")
+    store = _store(spark, sf)
+    store.put_rows("c", _cells(_delta(spark, sf)))
+    return _columns(store.read("c"))
+
+
+def kv_compacted(spark, sf):
+    """Cells, then whole rows, then cells again, in one base."""
+    store = _store(spark, sf)
+    for put, rows in ((store.put, _delta(spark, sf)), (store.put_rows, _delta(spark, sf).where("key like '1%'")), (store.put, _delta(spark, sf).where("key like '%4'"))):
+        put("c", _cells(rows))
+    store.compact("c")
+    return _columns(store.read("c"))
 
 
 def kv_range_scan(spark, sf):
-    return K.key_range(_base(spark, sf), "key", "12", "2")
+    return _columns(_store(spark, sf).scan("c", "12", "2"))
 
 
 def kv_key_ranges(spark, sf):
@@ -49,25 +84,59 @@ def kv_key_ranges(spark, sf):
     return out
 
 
+def _dicts(spark, rows: list[dict]) -> DataFrame:
+    data = [[r["key"], *((bytes(r[c]).decode() if c in r else None) for c in COLUMNS)] for r in rows]
+    return spark.createDataFrame(data, "key string, name string, segment string, balance string")
+
+
 def kv_get_row(spark, sf):
-    return _base(spark, sf).where(F.col("key") == "17")
+    cells = _store(spark, sf).get("c", "17")
+    return _dicts(spark, [] if cells is None else [{"key": "17"} | cells])
 
 
 def kv_get_cell(spark, sf):
-    return _base(spark, sf).where(F.col("key") == "17").select("segment")
+    cell = _store(spark, sf).get("c", "17", "segment")
+    return spark.createDataFrame([(None if cell is None else cell.decode(),)], "segment string")
 
 
 def kv_exists(spark, sf):
-    asked = _delta(spark, sf).select("key")
-    return asked.join(_base(spark, sf).select("key"), "key", "left_semi")
+    store = _store(spark, sf)
+    return spark.createDataFrame([(k, store.exists("c", k)) for k in ("1", "17", "no such key", "")], "key string, there boolean")
+
+
+def kv_exists_all(spark, sf):
+    """Keys of a table that another one has, in one pass."""
+    return _delta(spark, sf).select("key").join(_base(spark, sf).select("key"), "key", "left_semi")
 
 
 def kv_count(spark, sf):
-    return _base(spark, sf).agg(F.count(F.lit(1)).alias("n"))
+    return spark.createDataFrame([(_store(spark, sf).count("c"),)], "n bigint")
 
 
 def kv_page_view(spark, sf):
-    return K.page_view(_base(spark, sf), "key", "14")
+    rows, _, _ = _store(spark, sf).page("c", "14")
+    return _dicts(spark, [{"key": r.key} | dict(r.cols) for r in rows])
+
+
+def kv_pages(spark, sf):
+    """Where each of the first four pages of ten starts and how many rows there are in all."""
+    store, start, out = _store(spark, sf), None, []
+    for number in range(4):
+        rows, after, total = store.page("c", start)
+        out.append((number, rows[0].key, len(rows), after, total))
+        start = after
+    return spark.createDataFrame(out, "page int, first string, rows int, next string, total bigint")
+
+
+def kv_tables(spark, sf):
+    """Names of tables after some were made, renamed and dropped, with their rows."""
+    store = _store(spark, sf)
+    for name in ("a", "b"):
+        store.put(name, _cells(_delta(spark, sf)))
+    done = [("rename c to d", store.rename("c", "d")), ("rename d to a", store.rename("d", "a")), ("rename x to y", store.rename("x", "y"))]
+    store.drop("b")
+    rows = [(n, True, store.count(n)) for n in store.tables()] + [(n, ok, None) for n, ok in done]
+    return spark.createDataFrame(rows, "name string, ok boolean, n bigint")
 
 
 def _orders(spark, sf):
@@ -107,7 +176,7 @@ def kv_probe(spark, sf):
 
 
 def kv_key_order(spark, sf):
-    return _base(spark, sf).orderBy("key").limit(25)
+    return _columns(_store(spark, sf).scan("c")).limit(25)
 
 
 def golden_comparison(spark, sf):
@@ -132,7 +201,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         kv_put_cell, kv_put_row, kv_range_scan, kv_key_ranges, kv_get_row, kv_get_cell, kv_exists, kv_count, kv_page_view, kv_wide_pairs, kv_wide_pairs_all,
-        kv_replica_diff, kv_digest, kv_digest_all, kv_probe, kv_key_order, golden_comparison,
+        kv_compacted, kv_exists_all, kv_pages, kv_tables, kv_replica_diff, kv_digest, kv_digest_all, kv_probe, kv_key_order, golden_comparison,
     )
 }
 SQL = {
@@ -142,7 +211,15 @@ SQL = {
     "kv_key_ranges": f"""with {_B} select case when key < '12' then '' when key < '3' then '12' when key < '7' then '3' else '7' end as low, count(*)::bigint as n from b group by all""",
     "kv_get_row": f"with {_B} select * from b where key = '17'",
     "kv_get_cell": f"with {_B} select segment from b where key = '17'",
-    "kv_exists": f"with {_B}, {_D} select key from d where key in (select key from b)",
+    "kv_compacted": f"""with {_B}, {_D}, {_M}, r as (select * from m where key not in (select key from d where key like '1%') union all select * from d where key like '1%'),
+e as (select * from d where key like '%4')
+select coalesce(e.key, r.key) as key, coalesce(e.name, r.name) as name, coalesce(e.segment, r.segment) as segment, coalesce(e.balance, r.balance) as balance from r full join e on r.key = e.key""",
+    "kv_exists": f"with {_B} select k as key, k in (select key from b) as there from (select unnest(['1', '17', 'no such key', '']) as k)",
+    "kv_exists_all": f"with {_B}, {_D} select key from d where key in (select key from b)",
+    "kv_pages": f"""with {_B}, o as (select key, row_number() over (order by key) - 1 as i, count(*) over () as total from b)
+select (x.i // 10)::int as page, x.key as first, 10::int as rows, (select key from o y where y.i = x.i + 10) as next, total::bigint as total from o x where i in (0, 10, 20, 30)""",
+    "kv_tables": f"""with {_B}, {_D} select 'a' as name, true as ok, (select count(*) from d)::bigint as n union all select 'd', true, (select count(*) from b)::bigint
+union all select 'rename c to d', true, null union all select 'rename d to a', false, null union all select 'rename x to y', false, null""",
     "kv_count": "select count(*)::bigint as n from customer",
     "kv_page_view": f"with {_B} select * from b where key >= '14' order by key limit 10",
     "kv_wide_pairs": """with o as (select o_custkey::varchar as key, list(o_orderkey::varchar order by o_orderkey::varchar) as l from orders group by all)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import zipfile
 from pathlib import Path
@@ -29,17 +30,25 @@ def local_session(name: str = "weftlake", cores: int | str = "*", **conf: str) -
     return spark
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """``df`` written to the shared checkpoint folder and read back from it.
+def shared_folder(spark: SparkSession) -> str:
+    """A folder that the driver and all executors share: that of checkpoints.
 
-    The folder is the cluster's ``spark.checkpoint.dir``; only where none is
-    set, as in tests on one machine, a temporary folder is used.
+    It is the cluster's ``spark.checkpoint.dir``.  Where none is set, a session
+    on one machine takes a temporary folder of that machine; any other session
+    fails, as its executors would not share such a folder.
     """
-    sc = df.sparkSession.sparkContext
+    sc = spark.sparkContext
     if not sc.getCheckpointDir():
-        sc.setCheckpointDir(
-            sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="weftlake-")
-        )
+        folder = sc.getConf().get("spark.checkpoint.dir")
+        if not folder and not re.match(r"local(\[|$)", sc.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="weftlake-"))
+    return sc.getCheckpointDir()
+
+
+def cut_lineage(df: DataFrame) -> DataFrame:
+    """``df`` written to the shared checkpoint folder and read back from it."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
