@@ -156,6 +156,13 @@ def test_languages(spark):
     assert {(1, "de"), (2, "en")} <= found and (1, "en") not in found
     pages = {r.crawl_id: r for r in p5_language.page_languages(p5_language.block_languages(crawl(spark, rows), network)).collect()}
     assert pages[1].mixed and pages[2].lang == "en" and 0 < pages[2].confidence <= 1 and set(pages) == {1, 2}
+    short = crawl(spark, [(1, "u", "<p>Guten Morgen</p>"), (2, "u", "<p>1 + 2</p>")])
+    assert [r.crawl_id for r in p5_language.page_languages(p5_language.block_languages(short, network, p5_language.has_letter)).collect()] == [1]
+    both = f"{de} {de.replace('nicht', 'gar nicht')} {en} {en.replace('this', 'that')}"
+    parts = sorted(tuple(r) for r in p5_language.language_segments(crawl(spark, [(1, "u", f"<p>{both}</p>"), (2, "u", None)]), network).collect())
+    at = both.index(en)
+    assert [p[:5] for p in parts] == [(1, 0, 0, at, "de"), (1, 0, at, len(both), "en")] and all(0.5 < p[5] <= 1 for p in parts)
+    assert p5_language.language_segments(crawl(spark, []), network).count() == 0
     assert p5_language.block_languages(crawl(spark, []), network).count() == 0
     assert len(network.probabilities([])) == 0 and abs(network.probabilities(["x" * 100_000]).sum() - 1) < 1e-6
 
