@@ -92,3 +92,41 @@ def test_systematic_sample(spark):
 def test_wide_keeps_what_goes_beyond_its_columns(spark):
     pairs = Pairs(spark.createDataFrame([("a", v) for v in "51342"] + [("b", "1")], "key string, value string"))
     assert sorted(tuple(r) for r in pairs.wide(3, "more").collect()) == [("a", "1", "2", "3", ["4", "5"]), ("b", "1", None, None, [])]
+
+
+def test_wide_has_room_for_all_values(spark, monkeypatch):
+    from weftlake.operators import dataset
+
+    pairs = Pairs(spark.createDataFrame([("a", v) for v in "51342"] + [("b", "1")], "key string, value string"))
+    assert sorted(tuple(r) for r in pairs.wide().collect()) == [("a", "1", "2", "3", "4", "5"), ("b", "1", None, None, None, None)]
+    with pytest.raises(ValueError):
+        pairs.wide(3)
+    monkeypatch.setattr(dataset, "MOST_COLUMNS", 4)
+    with pytest.raises(ValueError):
+        pairs.wide()
+    assert Pairs(pairs.df.limit(0)).wide().columns == ["key"]
+
+
+def test_folds_with_any_step(spark):
+    from weftlake.operators.dataset import Opaque
+
+    rows = spark.createDataFrame([("a", str(i), i) for i in range(50)] + [("b", "7", 3), (None, "1", 1), (None, "2", 0)], "key string, value string, at int")
+    step = Opaque(lambda a, x: str(int(a) * 3 % 1009 - int(x)))
+    got = {r.key: r.value for r in Pairs(rows.repartition(5)).fold_by_key_in_order("1", step, "at").df.collect()}
+    want = "1"
+    for i in range(50):
+        want = step.fn(want, str(i))
+    assert got == {"a": want, "b": step.fn("1", "7"), None: step.fn(step.fn("1", "2"), "1")}
+    assert Strings(rows.where("key = 'a'").repartition(5)).fold_in_order("1", step, "at") == want
+    assert Strings(rows.limit(0)).fold_in_order("z", step, "at") == "z"
+
+
+def test_opaque_groups_text_and_partitions(spark, tmp_path):
+    from weftlake.operators.dataset import Opaque
+
+    s = Strings.parallelize(spark, ["ab", "ac", "b"])
+    assert sorted(s.group_by(Opaque(lambda v: v[0])).collect()) == [("a", "ab,ac"), ("b", "b")]
+    assert s.spread_over(3).df.rdd.getNumPartitions() == 3
+    s.append_text(str(tmp_path / "t"))
+    s.append_text(str(tmp_path / "t"))
+    assert spark.read.text(str(tmp_path / "t")).count() == 6

@@ -81,8 +81,34 @@ def test_cli(spark, tmp_path):
 
 
 def test_flatmap_pair_takes_all_words(tmp_path, spark):
-    from weftlake.plans.datasets import rdd_flatmap_pair_all
+    from weftlake.plans.datasets import rdd_flatmap_pair
 
     spark.createDataFrame([("a b c d e F g F",), (None,), ("",)], "text string").write.parquet(str(tmp_path / "documents.parquet"))
-    got = {(r.key, r.value): r.n for r in rdd_flatmap_pair_all(spark, str(tmp_path)).collect()}
+    got = {(r.key, r.value): r.n for r in rdd_flatmap_pair(spark, str(tmp_path)).collect()}
     assert got == {(w, "1"): 1 for w in "abcdeg"} | {("f", "1"): 2, ("", "0"): 1}
+
+
+def say(spark, args, output):
+    if not args:
+        raise ValueError("no words")
+    output.write(" ".join(args))
+
+
+def test_submit(spark):
+    assert cli.main(["submit", "test_edges:say", "a", "b"], spark) == ["a b"]
+    assert cli.submit(spark, "test_edges:say", []) == "failed: ValueError: no words"
+    assert cli.submit(spark, "no_such_module", []).startswith("failed: ModuleNotFoundError")
+
+
+def test_turns(spark, tmp_path):
+    from weftlake.streaming.waits import turns
+
+    schema = "host string, url string, at bigint"
+    source = str(tmp_path / "in")
+    (tmp_path / "in").mkdir()
+    stream = spark.readStream.schema(schema).parquet(source)
+    for batch in ([("a", "u1", 0), ("a", "u2", 10), ("b", "u3", 10), (None, "u4", 1)], [("a", "u5", 2500), ("a", "u6", 2600)]):
+        spark.createDataFrame(batch, schema).coalesce(1).write.mode("append").parquet(source)
+        q = turns(stream, 1000).writeStream.option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).format("parquet").start(str(tmp_path / "out"))
+        q.awaitTermination()
+    assert {(r.url, r.due) for r in spark.read.parquet(str(tmp_path / "out")).collect()} == {("u1", 0), ("u2", 1000), ("u3", 10), ("u5", 2500), ("u6", 3500)}

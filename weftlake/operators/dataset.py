@@ -19,6 +19,8 @@ from ..session import cut_lineage, ship_package
 
 #: Elements of one key that a fold gathers at a time.
 FOLD_CHUNK = 10_000
+#: Columns of a wide table at most.
+MOST_COLUMNS = 2_000
 #: Keys of a sample that may be broadcast.
 BROADCAST_ROWS = 1_000_000
 
@@ -93,6 +95,14 @@ class Strings(_Handle):
         key = F.concat(F.lit("k"), F.monotonically_increasing_id(), F.lit("-"), F.substring(F.sha1("value"), 1, 8))
         self.df.select(key.alias("key"), "value").write.mode(mode).parquet(path)
 
+    def append_text(self, path: str) -> None:
+        """Add the elements to a folder of text files, one line each."""
+        self.df.select("value").write.mode("append").text(path)
+
+    def spread_over(self, n: int) -> "Strings":
+        """The same elements in ``n`` partitions, as many as tasks are to work on them."""
+        return Strings(self.df.repartition(n))
+
     def distinct(self) -> "Strings":
         """Each element once."""
         return Strings(self.df.select("value").distinct())
@@ -140,7 +150,7 @@ class Strings(_Handle):
             out = self.df.select(F.inline(f(F.col("value"))).alias("key", "value"))
         return Pairs(out.where("key is not null"))
 
-    def group_by(self, f: Callable[[Column], Column]) -> "Pairs":
+    def group_by(self, f: Callable[[Column], Column] | Opaque) -> "Pairs":
         """Elements by ``f``, in order and joined by commas; elements with a null key are left out.
 
         For groups of any size use :meth:`keyed` and an aggregate instead.
@@ -149,8 +159,10 @@ class Strings(_Handle):
         joined = F.array_join(F.array_sort(F.collect_list("value")), ",")
         return Pairs(keyed.groupBy("key").agg(joined.alias("value")))
 
-    def keyed(self, f: Callable[[Column], Column]) -> "Pairs":
+    def keyed(self, f: Callable[[Column], Column] | Opaque) -> "Pairs":
         """Pairs of ``f`` and element, no grouping done."""
+        if isinstance(f, Opaque):
+            return self.map_to_pair(Opaque(lambda v, fn=f.fn: (fn(v), v)))
         return self.map_to_pair(lambda v: (f(v), v))
 
     def map_partitions(self, f: Callable[[Iterator[str]], Iterator[str]]) -> "Strings":
@@ -175,6 +187,45 @@ class Strings(_Handle):
         return none.select(F.coalesce("value", zero.cast(kind)).alias("value"))
 
 
+    def fold_in_order(self, zero: str, step: Opaque, order: str) -> str:
+        """Left fold by ``order`` with any step, see :func:`folded_in_order`; ``zero`` when there is nothing to fold."""
+        row = folded_in_order(self.df, [], "value", zero, step, order).first()
+        return zero if row is None else row.value
+
+
+def folded_in_order(df: DataFrame, keys: list[str], value: str, zero: str, step: Opaque, order: str) -> DataFrame:
+    """Left fold of ``value`` per key in order of ``order`` with any step, a function of two strings.
+
+    Such a fold cannot be taken apart, so a key is one task's work.  It is
+    sorted with spilling and read in batches: nothing but the state is held.
+    Where the step is associative, :func:`folded` spreads a key over tasks.
+    """
+    ship_package(df.sparkSession)
+    rows = df.select(*(F.col(k).cast("string").alias(k) for k in keys), F.col(value).cast("string").alias("value"), F.col(order).alias("_at"))
+    rows = rows.repartition(*keys).sortWithinPartitions(*keys, "_at") if keys else rows.orderBy("_at").coalesce(1)
+    fn, names = step.fn, [*keys, "value"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key = state = None
+        started = False
+        out: list[tuple] = []
+        for batch in batches:
+            for *own, x in zip(*(batch.column(c).to_pylist() for c in names)):
+                if not started or own != key:
+                    if started:
+                        out.append((*key, state))
+                    key, state, started = own, zero, True
+                state = fn(state, x)
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(list(c), pa.string()) for c in zip(*out)], names)
+                out = []
+        if started:
+            yield pa.RecordBatch.from_arrays([pa.array([c], pa.string()) for c in (*key, state)], names)
+
+    schema = T.StructType([T.StructField(n, T.StringType()) for n in names])
+    return rows.select(*names).mapInArrow(run, schema)
+
+
 def folded(
     df: DataFrame, keys: list[str], value: str, zero: Column, step: Callable[[Column, Column], Column], order: str,
     kind: str = "string",
@@ -233,6 +284,10 @@ class Pairs(_Handle):
         """Left fold of each key's values by ``order``; see :func:`folded`."""
         return Pairs(folded(self.df, ["key"], "value", zero, step, order, kind))
 
+    def fold_by_key_in_order(self, zero: str, step: Opaque, order: str) -> "Pairs":
+        """Left fold of each key's values by ``order`` with any step; see :func:`folded_in_order`."""
+        return Pairs(folded_in_order(self.df, ["key"], "value", zero, step, order))
+
     def aggregate_by_key(self, **aggregates: Column) -> DataFrame:
         """Built-in aggregates per key, folded on the map side first."""
         return self.df.groupBy("key").agg(*(c.alias(n) for n, c in aggregates.items()))
@@ -255,15 +310,21 @@ class Pairs(_Handle):
         """Write the pairs as a Parquet table."""
         self.df.select("key", "value").write.mode(mode).parquet(path)
 
-    def wide(self, columns: int, more: str | None = None) -> DataFrame:
-        """One row per key with the first ``columns`` of its values, in order, as ``v0, v1, …``.
+    def wide(self, columns: int | None = None, more: str | None = None) -> DataFrame:
+        """One row per key with all its values, in order, as ``v0, v1, …``.
 
-        The values beyond them are left out, or go into the array column ``more``.
+        There are as many columns as the longest key has values, or
+        ``columns``, and then the values beyond them go into the array column
+        ``more``.  Without a place for a key's values it fails.
         """
-        values = F.array_sort(F.collect_list("value"))
-        rows = self.df.groupBy("key").agg(values.alias("_all"))
-        rest = [F.slice("_all", columns + 1, F.size("_all")).alias(more)] if more else []
-        return rows.select("key", *(F.get("_all", F.lit(i)).alias(f"v{i}") for i in range(columns)), *rest)
+        counts = self.df.groupBy("key").agg(F.count("value").alias("n"))
+        longest = counts.agg(F.max("n")).first()[0] or 0 if columns is None or more is None else 0
+        width = longest if columns is None else columns
+        if more is None and longest > width or width > MOST_COLUMNS:
+            raise ValueError(f"a key has {max(longest, width)} values: name a column for those beyond {min(width, MOST_COLUMNS)}")
+        rows = self.df.groupBy("key").agg(F.array_sort(F.collect_list("value")).alias("_all"))
+        rest = [F.slice("_all", width + 1, F.size("_all")).alias(more)] if more else []
+        return rows.select("key", *(F.get("_all", F.lit(i)).alias(f"v{i}") for i in range(width)), *rest)
 
 
 class Output:

@@ -40,12 +40,6 @@ def _sized(words):
 
 
 def rdd_flatmap_pair(spark, sf):
-    """Pairs of the first five words of each text; rdd_flatmap_pair_all has those of all words."""
-    pairs = _words(spark, sf).flat_map_to_pair(lambda v: _sized(F.slice(F.split(v, " "), 1, 5)))
-    return _counted(pairs, "key", "value")
-
-
-def rdd_flatmap_pair_all(spark, sf):
     pairs = _words(spark, sf).flat_map_to_pair(lambda v: _sized(F.split(v, " ")))
     return _counted(pairs, "key", "value")
 
@@ -113,7 +107,8 @@ def rdd_count(spark, sf):
 
 
 def rdd_take(spark, sf):
-    return S.from_table(table(spark, sf, "customer"), F.col("c_name")).df.orderBy("value").limit(10)
+    first = S.from_table(table(spark, sf, "customer"), F.col("c_name")).take(10)
+    return S.parallelize(spark, first).df
 
 
 def rdd_fold(spark, sf):
@@ -132,6 +127,13 @@ def pair_fold_by_key_concat(spark, sf):
     return folded.select("key", F.length("value").cast("bigint").alias("n"), F.md5("value").alias("digest"))
 
 
+def pair_fold_by_key_any(spark, sf):
+    """A fold whose step is not associative: each event type's checksum over its ids in order."""
+    rows = table(spark, sf, "events").select(F.col("event_type").alias("key"), F.col("event_id").cast("string").alias("value"), "event_id")
+    step = D.Opaque(lambda a, x: str((int(a) * 31 + int(x)) % 1_000_003))
+    return D.Pairs(rows).fold_by_key_in_order("7", step, "event_id").df
+
+
 def pair_fold_by_key_setunion(spark, sf):
     rows = table(spark, sf, "orders").select(F.col("o_custkey").alias("key"), F.col("o_orderpriority").alias("value"))
     return rows.groupBy("key").agg(F.array_join(F.array_sort(F.collect_set("value")), ",").alias("value"))
@@ -163,9 +165,9 @@ _EV = "select event_type as k, length(event_type)::varchar as v from events wher
 QUERIES = {
     f.__name__: f
     for f in (
-        rdd_from_table, rdd_parallelize, rdd_flatmap, rdd_flatmap_pair, rdd_flatmap_pair_all, rdd_map_pair, pair_flatmap, pair_flatmap_pair, rdd_opaque_map,
+        rdd_from_table, rdd_parallelize, rdd_flatmap, rdd_flatmap_pair, rdd_map_pair, pair_flatmap, pair_flatmap_pair, rdd_opaque_map,
         rdd_filter, rdd_map_partitions, rdd_sample_bernoulli, rdd_sample_systematic, rdd_distinct, rdd_intersection, rdd_union,
-        rdd_group_by, rdd_count, rdd_take, rdd_fold, pair_fold_by_key_sum, pair_fold_by_key_concat, pair_fold_by_key_setunion,
+        rdd_group_by, rdd_count, rdd_take, rdd_fold, pair_fold_by_key_sum, pair_fold_by_key_concat, pair_fold_by_key_any, pair_fold_by_key_setunion,
         pair_fold_by_key_append, pair_join, pair_cogroup, rdd_count_distinct,
     )
 }
@@ -173,8 +175,7 @@ SQL = {
     "rdd_from_table": "select c_name as value from customer where c_acctbal > 0",
     "rdd_parallelize": "select unnest(['pear', 'apple', 'pear', 'fig']) as value",
     "rdd_flatmap": "select value, count(*)::bigint as n from (select unnest(string_split(text, ' ')) as value from documents) where value is not null group by value",
-    "rdd_flatmap_pair": "select lower(w) as key, length(w)::varchar as value, count(*)::bigint as n from (select unnest(string_split(text, ' ')[1:5]) as w from documents) group by all",
-    "rdd_flatmap_pair_all": "select lower(w) as key, length(w)::varchar as value, count(*)::bigint as n from (select unnest(string_split(text, ' ')) as w from documents) group by all",
+    "rdd_flatmap_pair": "select lower(w) as key, length(w)::varchar as value, count(*)::bigint as n from (select unnest(string_split(text, ' ')) as w from documents) group by all",
     "rdd_map_pair": "select left(o_orderpriority, 1) as key, '1' as value, count(*)::bigint as n from orders where o_orderpriority <> '5-LOW' group by all",
     "pair_flatmap": f"select value, count(*)::bigint as n from (select unnest([k, v]) as value from ({_EV})) group by value",
     "pair_flatmap_pair": f"select v as key, k as value, count(*)::bigint as n from ({_EV}) group by all",
@@ -193,6 +194,8 @@ select event_id, event_type from n, t where i % step = 0 and i < step * 100""",
     "rdd_fold": "select sum(round(o_totalprice)::bigint)::bigint as value from orders",
     "pair_fold_by_key_sum": "select l_returnflag as key, sum(l_quantity::bigint)::bigint as value from lineitem group by all",
     "pair_fold_by_key_concat": "select key, length(v)::bigint as n, md5(v) as digest from (select event_type as key, string_agg(left(event_type, 1), '' order by event_id) as v from events group by all)",
+    "pair_fold_by_key_any": """select event_type as key, list_reduce(list_prepend(7::bigint, list(event_id order by event_id)), lambda a, x: (a * 31 + x) % 1000003)::varchar as value
+from events group by event_type""",
     "pair_fold_by_key_setunion": "select o_custkey as key, string_agg(distinct o_orderpriority, ',' order by o_orderpriority) as value from orders group by all",
     "pair_fold_by_key_append": "select n_regionkey as key, string_agg(n_name, ',' order by n_name) as value from nation group by all",
     "pair_join": "select c_custkey::varchar as key, c_mktsegment || ',' || o_orderkey as value from customer join orders on c_custkey = o_custkey",

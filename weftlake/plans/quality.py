@@ -47,13 +47,13 @@ def host_concentration(rows: DataFrame) -> DataFrame:
 
 
 def codes(rows: DataFrame) -> DataFrame:
-    """Status codes: ``key, n, percent``."""
-    return _shares(rows, F.col("responsecode").cast("string"))
+    """Status codes, the most frequent first: ``key, n, percent``."""
+    return _shares(rows, F.col("responsecode").cast("string")).orderBy(F.desc("n"), "key")
 
 
 def types(rows: DataFrame) -> DataFrame:
-    """Content types without parameters: ``key, n, percent``."""
-    return _shares(rows, U.base_mime(F.col("contenttype")))
+    """Content types without parameters, the most frequent first: ``key, n, percent``."""
+    return _shares(rows, U.base_mime(F.col("contenttype"))).orderBy(F.desc("n"), "key")
 
 
 def upper_median(rows: DataFrame, value: str) -> DataFrame:

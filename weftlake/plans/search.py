@@ -22,10 +22,14 @@ def idf(df: Column, records: int = RECORDS) -> Column:
     return F.ln(F.lit(float(records)) / (F.lit(1.0) + df))
 
 
-def _matches(terms: DataFrame, index: DataFrame, weight: float, source: str) -> DataFrame:
-    """``url, source, score`` for each posting of each term; the few terms are sent to the index."""
+def _matches(terms: DataFrame, words: list[str], index: DataFrame, weight: float, source: str) -> DataFrame:
+    """``url, source, score`` for each posting of each term.
+
+    The terms are literals of the scan's filter, so of an index that is sorted
+    or bucketed by token only the row groups that may hold them are read.
+    """
     pairs = (
-        index.join(F.broadcast(terms), "token")  # terms of one search string
+        index.where(F.col("token").isin(words)).join(F.broadcast(terms), "token")  # terms of one search string
         .select("token", "times", F.explode("urls").alias("url"))
         .where("url is not null")
         .distinct()
@@ -45,8 +49,9 @@ def scores(query: str, title_index: DataFrame, url_index: DataFrame, ranks: Data
     """``url, title_score, url_score, rank_score`` of everything that holds a term."""
     spark = title_index.sparkSession
     terms = spark.createDataFrame([(query,)], "q string").select(F.explode(T.query_terms(F.col("q"))).alias("token"))
-    terms = terms.groupBy("token").agg(F.count(F.lit(1)).alias("times"))
-    found = _matches(terms, title_index, TITLE, "title").union(_matches(terms, url_index, URL, "url"))
+    counted = [(r.token, r["count"]) for r in terms.groupBy("token").count().collect()]  # of one search string
+    words, terms = [t for t, _ in counted], spark.createDataFrame(counted, "token string, times bigint")
+    found = _matches(terms, words, title_index, TITLE, "title").union(_matches(terms, words, url_index, URL, "url"))
     part = lambda s: F.coalesce(F.sum(F.when(F.col("source") == s, F.col("score"))), F.lit(0.0)).alias(f"{s}_score")
     by_url = found.groupBy("url").agg(part("title"), part("url")).withColumn("host", U.strict_host(F.col("url")))
     ranked = by_url.join(ranks.select("host", "rank"), "host", "left")
@@ -71,6 +76,17 @@ def search(query: str, title_index: DataFrame, url_index: DataFrame, ranks: Data
     return shown.orderBy(F.desc("score"), "url").limit(SHOWN)
 
 
+def explained(query: str, title_index: DataFrame, url_index: DataFrame, ranks: DataFrame, crawl: DataFrame) -> DataFrame:
+    """Where the scores of the results that are looked at come from: ``url, title_score, url_score, rank_score, title_match``."""
+    parts = ("title_score", "url_score", "rank_score")
+    base = scores(query, title_index, url_index, ranks).select("url", *(F.round(p, 6).alias(p) for p in parts))
+    best = base.orderBy(F.desc(F.round(F.col("title_score") + F.col("url_score") + F.col("rank_score"), 6)), "url").limit(KEPT)
+    titles = latest_titles(crawl.join(F.broadcast(best.select("url")), "url", "left_semi"))  # KEPT rows at most
+    text, wanted = F.lower(F.coalesce("title", F.col("url"))), query.strip().lower()
+    match = F.when(text == wanted, EQUAL).when(text.startswith(wanted), PREFIX).otherwise(0.0)
+    return best.join(titles, "url", "left").select("url", *parts, match.alias("title_match"))
+
+
 SEARCH = "the island and the river"
 
 
@@ -87,6 +103,10 @@ def search_breakdown(spark, sf):
     return out.select("url", *(F.round(c, 6).alias(c) for c in ("title_score", "url_score", "rank_score")))
 
 
+def search_explained(spark, sf):
+    return explained(SEARCH, *_inputs(spark, sf), table(spark, sf, "pt_crawl"))
+
+
 _SCORES = """with q as (select token, count(*) as times from (select unnest(['the', 'island', 'and', 'the', 'river']) as token) group by token),
 tp as (select distinct token, url from (select token, unnest(urls) as url from pt_title_index) where url is not null and token in (select token from q)),
 up as (select distinct token, url from (select token, unnest(urls) as url from pt_url_index) where url is not null and token in (select token from q)),
@@ -97,7 +117,7 @@ b as (select url, sum(t) as title_score, sum(u) as url_score from m group by url
 s as (select url, title_score, url_score, coalesce(rank, 0.0::double) * 5000.0::double as rank_score
   from b left join pt_pageranks on host = lower(regexp_extract(url, '^[a-zA-Z][a-zA-Z0-9+.-]*://([^/?#:]*)', 1)))
 """
-QUERIES = {"search_topk": search_topk, "search_breakdown": search_breakdown}
+QUERIES = {"search_topk": search_topk, "search_explained": search_explained, "search_breakdown": search_breakdown}
 SQL = {
     "search_topk": _SCORES
     + """, k as (select url, round(title_score + url_score + rank_score, 6) as score from s order by score desc, url limit 60),
@@ -105,5 +125,11 @@ l as (select url, title from (select url, title, row_number() over (partition by
 f as (select k.url, coalesce(title, k.url) as title, score from k left join l on k.url = l.url)
 select url, title, round(score + case when lower(title) = 'the island and the river' then 50.0::double when starts_with(lower(title), 'the island and the river') then 25.0::double else 0.0::double end, 6) as score
 from f order by score desc, url limit 50""",
+    "search_explained": _SCORES
+    + """, r as (select url, round(title_score, 6) as title_score, round(url_score, 6) as url_score, round(rank_score, 6) as rank_score from s),
+k as (select * from r order by round(title_score + url_score + rank_score, 6) desc, url limit 60),
+l as (select url, title from (select url, title, row_number() over (partition by url order by fetched_at desc nulls last, crawl_id desc) as rn from pt_crawl where trim(title) <> '') where rn = 1)
+select k.*, case when lower(coalesce(title, k.url)) = 'the island and the river' then 50.0::double when starts_with(lower(coalesce(title, k.url)), 'the island and the river') then 25.0::double else 0.0::double end as title_match
+from k left join l on k.url = l.url""",
     "search_breakdown": _SCORES + "select url, round(title_score, 6) as title_score, round(url_score, 6) as url_score, round(rank_score, 6) as rank_score from s",
 }

@@ -147,11 +147,6 @@ def _orders(spark, sf):
 
 
 def kv_wide_pairs(spark, sf):
-    """The first three values of each key; kv_wide_pairs_all has all of them."""
-    return _orders(spark, sf).wide(3)
-
-
-def kv_wide_pairs_all(spark, sf):
     return _orders(spark, sf).wide(3, "more")
 
 
@@ -161,10 +156,6 @@ def kv_replica_diff(spark, sf):
 
 
 def kv_digest(spark, sf):
-    return _delta(spark, sf).select("key", K.row_digest(COLUMNS).alias("digest"))
-
-
-def kv_digest_all(spark, sf):
     return _base(spark, sf).select("key", K.row_digest(COLUMNS).alias("digest"))
 
 
@@ -200,8 +191,8 @@ _DIG = "sha1(concat_ws('&', 'balance=' || balance, 'name=' || name, 'segment=' |
 QUERIES = {
     f.__name__: f
     for f in (
-        kv_put_cell, kv_put_row, kv_range_scan, kv_key_ranges, kv_get_row, kv_get_cell, kv_exists, kv_count, kv_page_view, kv_wide_pairs, kv_wide_pairs_all,
-        kv_compacted, kv_exists_all, kv_pages, kv_tables, kv_replica_diff, kv_digest, kv_digest_all, kv_probe, kv_key_order, golden_comparison,
+        kv_put_cell, kv_put_row, kv_range_scan, kv_key_ranges, kv_get_row, kv_get_cell, kv_exists, kv_count, kv_page_view, kv_wide_pairs,
+        kv_compacted, kv_exists_all, kv_pages, kv_tables, kv_replica_diff, kv_digest, kv_probe, kv_key_order, golden_comparison,
     )
 }
 SQL = {
@@ -223,13 +214,10 @@ union all select 'rename c to d', true, null union all select 'rename d to a', f
     "kv_count": "select count(*)::bigint as n from customer",
     "kv_page_view": f"with {_B} select * from b where key >= '14' order by key limit 10",
     "kv_wide_pairs": """with o as (select o_custkey::varchar as key, list(o_orderkey::varchar order by o_orderkey::varchar) as l from orders group by all)
-select key, l[1] as v0, l[2] as v1, l[3] as v2 from o""",
-    "kv_wide_pairs_all": """with o as (select o_custkey::varchar as key, list(o_orderkey::varchar order by o_orderkey::varchar) as l from orders group by all)
 select key, l[1] as v0, l[2] as v1, l[3] as v2, l[4:] as more from o""",
     "kv_replica_diff": f"""with {_B}, {_D}, {_M}, x as (select key, {_DIG} as h from b where key::bigint % 10 <> 1), y as (select key, {_DIG} as h from m)
 select y.key, case when x.key is null then 'missing' else 'differs' end as reason from y left join x on x.key = y.key where x.key is null or x.h <> y.h""",
-    "kv_digest": f"with {_D} select key, {_DIG} as digest from d",
-    "kv_digest_all": f"with {_B} select key, {_DIG} as digest from b",
+    "kv_digest": f"with {_B} select key, {_DIG} as digest from b",
     "kv_probe": "select count(*)::bigint as n, count(url)::bigint as with_url, count(page)::bigint as with_page, count(title)::bigint as with_title from pt_crawl",
     "kv_key_order": f"with {_B} select * from b order by key limit 25",
     "golden_comparison": f"""with {_B}, {_D}, {_R}, x as (select key, {_DIG} as h from b), y as (select key, {_DIG} as h from r)

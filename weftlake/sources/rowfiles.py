@@ -51,23 +51,88 @@ def serialize_row(key: str, cells: dict[str, bytes]) -> bytes:
     return key.encode() + b" " + b"".join(b"%s %d %s " % (n.encode(), len(v), v) for n, v in cells.items())
 
 
+#: Keys whose file name is at least so long go into the sub-folder of its first two characters.
+FOLDER_FROM = 6
+
+
+def file_of(key: str) -> str:
+    """Path of a key's file below its table's folder."""
+    name = encode_key(key)
+    return f"__{name[:2]}/{name}" if len(name) >= FOLDER_FROM else name
+
+
+def row_paths(spark: SparkSession, folder: str) -> DataFrame:
+    """Files of a folder and its sub-folders ``__xy``, hidden ones included, in order of their keys: ``key string, path string``."""
+    root = spark._jvm.org.apache.hadoop.fs.Path(folder.rstrip("/"))
+    fs = root.getFileSystem(spark._jsc.hadoopConfiguration())
+    found = []
+    for s in fs.listStatus(root):
+        name = s.getPath().getName()
+        if s.isFile():
+            found.append((decode_key(name), s.getPath().toString()))
+        elif name.startswith("__"):
+            found += [(decode_key(f.getPath().getName()), f.getPath().toString()) for f in fs.listStatus(s.getPath()) if f.isFile()]
+    paths = spark.createDataFrame(found, "key string, path string")
+    return paths.repartitionByRange(max(1, len(found) // 10_000 + 1), "key").sortWithinPartitions("key")
+
+
 def read_row_files(spark: SparkSession, folder: str) -> DataFrame:
     """All rows of a folder and its sub-folders ``__xy``: ``key string, cols map<string, binary>``.
 
-    Files that are no rows are left out, and so are those whose name begins
-    with ``_``, which Spark takes for hidden.  Sub-folders, of which there are
-    as many as pairs of characters, are named one by one, as Spark would take
-    these for hidden, too.  Files are read in parallel.
+    Files that are no rows are left out.  The driver lists the folders; the
+    files, whatever their names, are opened by the tasks, a batch at a time.
     """
     ship_package(spark)
-    pattern = spark._jvm.org.apache.hadoop.fs.Path(f"{folder.rstrip('/')}/__*")
-    found = pattern.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(pattern) or ()
-    files = spark.read.format("binaryFile").load([folder, *(s.getPath().toString() for s in found if s.isDirectory())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyarrow import fs
+
         for batch in batches:
-            rows = [r for r in map(parse_row, batch.column(0).to_pylist()) if r]
-            cells = pa.array([list(c.items()) for _, c in rows], pa.map_(pa.string(), pa.binary()))
-            yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in rows], pa.string()), cells], ["key", "cols"])
+            for start in range(0, batch.num_rows, 500):
+                rows = []
+                for path in batch.column("path").slice(start, 500).to_pylist():
+                    system, name = fs.FileSystem.from_uri(_uri(path))
+                    with system.open_input_stream(name) as file:
+                        rows.append(parse_row(file.read()))
+                rows = [r for r in rows if r]
+                cells = pa.array([list(c.items()) for _, c in rows], pa.map_(pa.string(), pa.binary()))
+                yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in rows], pa.string()), cells], ["key", "cols"])
+
+    return row_paths(spark, folder).mapInArrow(run, "key string, cols map<string,binary>")
 
-    return files.select("content").mapInArrow(run, "key string, cols map<string,binary>")
+
+def _uri(path: str) -> str:
+    """A file's path as pyarrow takes it; ``file:/x`` means ``file:///x``."""
+    if path.startswith("file:"):
+        return "file://" + "/" + path[5:].lstrip("/")
+    return path
+
+
+def write_row_files(rows: DataFrame, folder: str) -> int:
+    """Write ``rows (key, cols)`` as row files below ``folder``, each by the task that has it; how many were written."""
+    ship_package(rows.sparkSession)
+    root = _uri(str(rows.sparkSession._jvm.org.apache.hadoop.fs.Path(folder.rstrip("/")).makeQualified(*_default(rows.sparkSession)).toString()))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyarrow import fs
+
+        system, base = fs.FileSystem.from_uri(root)
+        written = 0
+        for batch in batches:
+            for key, cells in zip(batch.column("key").to_pylist(), batch.column("cols").to_pylist()):
+                path = f"{base}/{file_of(key)}"
+                system.create_dir(path.rsplit("/", 1)[0], recursive=True)
+                with system.open_output_stream(path) as file:
+                    file.write(serialize_row(key, dict(cells or ())))
+                written += 1
+        yield pa.RecordBatch.from_arrays([pa.array([written], pa.int64())], ["n"])
+
+    counts = rows.where("key <> ''").select("key", "cols").mapInArrow(run, "n bigint")
+    return sum(r.n for r in counts.collect())
+
+
+def _default(spark: SparkSession) -> tuple:
+    """The file system that paths without a scheme belong to, and its working folder."""
+    jvm = spark._jvm.org.apache.hadoop.fs
+    fs = jvm.FileSystem.get(spark._jsc.hadoopConfiguration())
+    return fs.getUri(), fs.getWorkingDirectory()
