@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import html as H
 from ..functions import urls as U
-from ..operators.skew import hot_keys, join_by_key
+from ..operators.skew import join_by_key
 from ..session import cut_lineage
 from ..sources.tables import table
 
@@ -16,6 +16,8 @@ DAMPING, ROUNDS, TOLERANCE = 0.85, 20, 1e-4
 #: Hosts of the printed ranking; weight of social hosts in it; name of the merged wiki hosts.
 LISTED, SOCIAL_WEIGHT, WIKI = 1000, 0.1, "wiki family"
 _EXACT = "decimal(38,16)"
+#: Link targets that lie in one row.
+TARGETS = 10_000
 
 
 def host_graph(crawl: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -43,35 +45,48 @@ def pagerank(
     send nothing.  The ranks of hosts without links are spread over all.  Ranks
     are rounded to 8 digits in each round, and sums are taken in decimals, so
     results do not depend on the order of rows.  Without a tolerance all rounds
-    are made.  Each round ends in a checkpoint; a host with very many links is
-    joined without skew.
+    are made.  A round is one join of the ranks with the hosts' links and one
+    aggregate, and ends in a checkpoint; the links of a host with very many of
+    them lie in several rows, so that no task has them all.
     """
     n = hosts.count()
     if not n:
         return hosts.select("host", F.lit(0.0).alias("rank"))
-    edges = cut_lineage(edges.join(hosts.withColumnRenamed("host", "src"), "src", "left_semi"))
-    degree = edges.groupBy("src").agg(F.count(F.lit(1)).alias("n"))
-    hot = cut_lineage(hot_keys(degree))
-    nodes = cut_lineage(hosts.join(degree, hosts.host == degree.src, "left").select("host", F.coalesce("n", F.lit(0)).alias("n")))
-    ranks = nodes.select("host", F.lit(1.0 / n).alias("rank"))
+    links = cut_lineage(_adjacency(hosts, edges))
+    ranks = links.where("first").select("host", "n", F.lit(1.0 / n).alias("rank"))
+    base, zero = (1 - damping) / n, F.lit(0).cast(_EXACT)
     for step in range(rounds):
-        state = nodes.join(ranks, "host")
-        lost = state.where("n = 0").agg(F.coalesce(F.sum(F.col("rank").cast(_EXACT)), F.lit(0)).cast("double").alias("d"))
-        send = state.where("n > 0").select(F.col("host").alias("src"), (F.col("rank") / F.col("n")).cast(_EXACT).alias("part"))
-        parts = join_by_key(edges, send, None, "src", hot=hot).select(F.col("dst").alias("host"), "part")
-        incoming = parts.union(nodes.select("host", F.lit(0).cast(_EXACT))).groupBy("host").agg(F.sum("part").cast("double").alias("got"))
-        base = (1 - damping) / n
-        new = cut_lineage(
-            incoming.select("host", F.round(F.lit(base) + F.lit(damping) * (F.col("got") + lost.scalar() / n), 8).alias("rank"))
-        )
+        lost = ranks.where("n = 0").agg(F.coalesce(F.sum(F.col("rank").cast(_EXACT)), F.lit(0)).cast("double")).scalar()
+        part = (F.col("rank") / F.greatest("n", F.lit(1))).cast(_EXACT)
+        own = F.struct("host", F.col("n").alias("own"), zero.alias("part"))
+        given = F.transform("targets", lambda t: F.struct(t.alias("host"), F.lit(None).cast("bigint").alias("own"), part.alias("part")))
+        sent = links.join(ranks.select("host", "rank"), "host").select(F.inline(F.when(F.col("first"), F.array_append(given, own)).otherwise(given)))
+        got = sent.groupBy("host").agg(F.max("own").alias("n"), F.sum("part").cast("double").alias("got"))
+        rank = F.round(F.lit(base) + F.lit(damping) * (F.col("got") + lost / n), 8).alias("rank")
+        new = cut_lineage(got.select("host", "n", rank))
         if tolerance is not None and step:
-            old = ranks.withColumnRenamed("rank", "old")
+            old = ranks.select("host", F.col("rank").alias("old"))
             change = new.join(old, "host").agg(F.sum(F.abs(F.col("rank") - F.col("old")))).first()[0] or 0.0
             ranks = new
             if change < tolerance * n:
                 break
         ranks = new
-    return ranks
+    return ranks.select("host", "rank")
+
+
+def _adjacency(hosts: DataFrame, edges: DataFrame) -> DataFrame:
+    """``host, n, first, targets``: the ``n`` link targets of each host, in rows of about TARGETS; ``first`` is true in one of them."""
+    edges = edges.join(hosts.select(F.col("host").alias("src")), "src", "left_semi")
+    degree = cut_lineage(edges.groupBy("src").agg(F.count(F.lit(1)).alias("n")))
+    rows = F.ceil(F.col("n") / TARGETS)
+    dealt = join_by_key(edges, degree, degree, "src").withColumn("row", F.pmod(F.xxhash64("dst"), rows))
+    listed = dealt.groupBy(F.col("src").alias("host"), "n", "row").agg(F.collect_list("dst").alias("targets"))
+    least = listed.groupBy("host").agg(F.min("row").alias("least"))
+    known = listed.join(least, "host").select("host", "n", (F.col("row") == F.col("least")).alias("first"), "targets")
+    none = hosts.join(degree, hosts.host == degree.src, "left_anti")
+    return known.unionByName(
+        none.select("host", F.lit(0).cast("bigint").alias("n"), F.lit(True).alias("first"), F.array().cast("array<string>").alias("targets"))
+    )
 
 
 def ranking(ranks: DataFrame) -> DataFrame:
@@ -111,6 +126,10 @@ def pagerank_hosts(spark, sf):
     return pagerank(*host_graph(table(spark, sf, "pt_crawl")))
 
 
+def pagerank_hosts_k3(spark, sf):
+    return pagerank(*host_graph(table(spark, sf, "pt_crawl")), rounds=3, tolerance=None)
+
+
 def pagerank_graph(spark, sf):
     return host_graph(table(spark, sf, "pt_crawl"))[1]
 
@@ -129,8 +148,8 @@ g as (select 'c' || c_custkey as host, coalesce(d, 0) as d from customer left jo
 r0 as (select host, 1.0::double / n as rank from g, n)"""
 
 
-def _rounds(k: int) -> str:
-    steps = [_TRADE]
+def _rounds(k: int, tables: str = _TRADE) -> str:
+    steps = [tables]
     for i in range(1, k + 1):
         steps.append(
             f"""s{i} as (select g.host, d, rank from g join r{i - 1} on g.host = r{i - 1}.host),
@@ -141,16 +160,22 @@ r{i} as (select host, round(({1 - DAMPING}::double / n) + {DAMPING}::double * (g
     return "with " + ",\n".join(steps) + f" select * from r{k}"
 
 
-QUERIES = {f.__name__: f for f in (pagerank_k5, pagerank_hosts, pagerank_graph, pagerank_report)}
-SQL = {
-    "pagerank_k5": _rounds(5),
-    "pagerank_graph": r"""with p as (select url, decode(page) as h, lower(regexp_extract(url, '^[a-zA-Z][a-zA-Z0-9+.-]*://([^/?#:]*)', 1)) as src from pt_crawl where octet_length(page) > 0 and url is not null),
+_GRAPH = r"""p as (select url, decode(page) as h, lower(regexp_extract(url, '^[a-zA-Z][a-zA-Z0-9+.-]*://([^/?#:]*)', 1)) as src from pt_crawl where octet_length(page) > 0 and url is not null),
 t as (select src, url, unnest(regexp_extract_all(h, '(?is)<a[^>]*>')) as t from p),
 r as (select src, url, regexp_extract(t, '(?is)href\s*=\s*("[^"]*"|''[^'']*''|[^\s>]+)', 1) as raw from t),
 x as (select src, url, case when left(raw, 1) in ('"', '''') then substr(raw, 2, length(raw) - 2) else raw end as href from r where raw <> ''),
 y as (select src, case when starts_with(href, 'http') then href when starts_with(href, '//') then 'http:' || href
-  when starts_with(href, '/') then regexp_extract(url, '^([a-zA-Z][a-zA-Z0-9+.-]*)://', 1) || '://' || regexp_extract(url, '^[^:]*://([^/?#:]*)', 1) || href end as u from x)
-select distinct src, lower(regexp_extract(u, '^[a-zA-Z][a-zA-Z0-9+.-]*://([^/?#:]*)', 1)) as dst from y where u is not null""",
+  when starts_with(href, '/') then regexp_extract(url, '^([a-zA-Z][a-zA-Z0-9+.-]*)://', 1) || '://' || regexp_extract(url, '^[^:]*://([^/?#:]*)', 1) || href end as u from x)"""
+_LINKS = "select distinct src, lower(regexp_extract(u, '^[a-zA-Z][a-zA-Z0-9+.-]*://([^/?#:]*)', 1)) as dst from y where u is not null"
+_HOSTS = f"""{_GRAPH},
+e as ({_LINKS}), g0 as (select distinct src as host from p), n as (select count(*)::double as n from g0),
+g as (select g0.host, coalesce(d, 0) as d from g0 left join (select src, count(*) as d from e group by src) on src = g0.host),
+r0 as (select host, 1.0::double / n as rank from g, n)"""
+QUERIES = {f.__name__: f for f in (pagerank_k5, pagerank_hosts, pagerank_hosts_k3, pagerank_graph, pagerank_report)}
+SQL = {
+    "pagerank_k5": _rounds(5),
+    "pagerank_graph": f"with {_GRAPH} {_LINKS}",
+    "pagerank_hosts_k3": _rounds(3, _HOSTS),
     "pagerank_report": r"""with r as (select lower(x.host) as host, x.rank as rank from (select unnest([{'host': host, 'rank': rank}, {'host': 'www.reddit.com', 'rank': rank}, {'host': 'en.wikipedia.org', 'rank': rank}]) as x from pt_pageranks where host is not null)),
 w as (select case when regexp_matches(host, '\.(wikipedia|wikibooks|wikiquote|wikinews|wikivoyage|wikiversity|wikidata|wikimedia|wiktionary)\.org$') then 'wiki family' else host end as host,
   (rank * case when host = 'x.com' or regexp_matches(host, '^(www\.)?(facebook|instagram|linkedin|pinterest|reddit|tiktok|twitter|youtube)\.com$') then 0.1::double else 1.0::double end)::decimal(38,16) as rank from r where rank is not null),

@@ -52,15 +52,20 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+#: Splits of a scan that may be spread at most, some gigabytes.
+SPREAD_SPLITS = 64
+
+
 def spread(df: DataFrame) -> DataFrame:
     """``df``, in as many partitions as there are cores where a scan of few files has fewer.
 
     Only for scans and what is narrow upon them, as looking at the partitions
     of others would run their shuffles.  Inputs of many splits are left as
-    they are, so nothing is shuffled where it would cost much.
+    they are, so no more than SPREAD_SPLITS splits ever go through a shuffle;
+    for these, smaller splits (``spark.sql.files.maxPartitionBytes``) do the same.
     """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+    cores, splits = df.sparkSession.sparkContext.defaultParallelism, df.rdd.getNumPartitions()
+    return df.repartition(cores) if splits < cores and splits <= SPREAD_SPLITS else df
 
 
 def ship_package(spark: SparkSession) -> None:
