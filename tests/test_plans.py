@@ -99,6 +99,13 @@ def test_inverted_spreads_frequent_tokens(spark, monkeypatch):
     assert sum(r.token == "t" for r in rows) > 5 and sum(r.token == "s" for r in rows) == 1
 
 
+def test_parts_follow_each_other_in_order(spark, monkeypatch):
+    monkeypatch.setattr(indexes, "MAX_POSTINGS", 10)
+    pairs = spark.createDataFrame([("t", f"u{i:03}") for i in range(300)] + [("s", "u1")], "token string, url string")
+    rows = sorted((r.part, r.urls) for r in indexes.inverted(pairs).collect() if r.token == "t")
+    assert [u for _, urls in rows for u in urls] == [f"u{i:03}" for i in range(300)] and rows[0][0] == 0 and max(len(u) for _, u in rows) < 60
+
+
 INDEX = "row_id bigint, token string, urls array<string>, batch_id int, indexed_at timestamp, url string, at int, n int"
 
 

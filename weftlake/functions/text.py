@@ -62,3 +62,13 @@ def number(c: Column, kind: str, default: Column | None = None) -> Column:
     """A number in text form; what is none gives null or the default."""
     parsed = c.try_cast(kind)
     return parsed if default is None else F.coalesce(parsed, default)
+
+
+def fixed(c: Column, digits: int) -> Column:
+    """A number with so many digits after the point."""
+    return F.format_string(f"%.{digits}f", c)
+
+
+def padded(c: Column, width: int) -> Column:
+    """A text with blanks after it up to a width; longer ones stay whole."""
+    return F.format_string(f"%-{width}s", c)

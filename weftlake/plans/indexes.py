@@ -21,17 +21,28 @@ def postings(rows: DataFrame, tokens: Column, url: str = "url") -> DataFrame:
     return rows.select(F.explode(tokens).alias("token"), F.col(url).alias("url")).dropna().distinct()
 
 
-def with_parts(pairs: DataFrame) -> DataFrame:
-    """Distinct pairs ``token, url, …`` with ``part``, which spreads a token's urls over parts of bounded size.
+def with_parts(pairs: DataFrame, *order: Column) -> DataFrame:
+    """Distinct pairs ``token, url, …`` with ``part``, which cuts a token's urls into parts of bounded size.
 
-    Tokens with few postings have the part 0 only.  Counts meet the pairs by a
+    Tokens with few postings have the part 0 only.  The others are cut by
+    ranges of ``order`` (by default the url), so that their parts, one after
+    the other, are the whole list in that order.  Counts meet the pairs by a
     join that a frequent token cannot hold up.
     """
     pairs = cut_lineage(pairs)  # read several times below
     sizes = pairs.groupBy("token").agg(F.count(F.lit(1)).alias("n"))
-    parts = sizes.select("token", F.ceil(F.col("n") / MAX_POSTINGS).alias("_parts"))
-    spread = join_by_key(pairs, parts, sizes, "token")
-    return spread.withColumn("part", F.pmod(F.xxhash64("url"), F.col("_parts")).cast("bigint")).drop("_parts")
+    large = F.col("n") > MAX_POSTINGS
+    crowded = sizes.agg(F.sum(F.when(large, F.col("n")))).first()[0] or 0
+    if not crowded:
+        return pairs.withColumn("part", F.lit(0).cast("bigint"))
+    named = join_by_key(pairs, sizes.select("token", large.alias("_large")), sizes, "token")
+    few = named.where("not _large").drop("_large").withColumn("part", F.lit(0).cast("bigint"))
+    # ranges are found by sampling, so there are twice as many as would do
+    ranges = named.where("_large").drop("_large").repartitionByRange(2 * -(-crowded // MAX_POSTINGS), "token", *(order or (F.col("url"),)))
+    placed = cut_lineage(ranges.withColumn("_range", F.spark_partition_id()))
+    first = placed.groupBy("token").agg(F.min("_range").alias("_first"), F.count(F.lit(1)).alias("n"))
+    many = join_by_key(placed, first.drop("n"), first.drop("_first"), "token")
+    return few.unionByName(many.withColumn("part", (F.col("_range") - F.col("_first")).cast("bigint")).drop("_range", "_first"))
 
 
 def inverted(pairs: DataFrame) -> DataFrame:
@@ -81,7 +92,7 @@ def anchor_positions(crawl: DataFrame) -> DataFrame:
 
 def anchor_index(crawl: DataFrame) -> DataFrame:
     """``token, part, targets``: targets as ``url:positions``, those with most positions first."""
-    rows = with_parts(anchor_positions(crawl)).withColumn("n", F.size("positions"))
+    rows = with_parts(anchor_positions(crawl).withColumn("n", F.size("positions")), F.desc("n"), F.col("url"))
     entry = F.concat_ws(":", "url", F.array_join(F.transform("positions", lambda p: p.cast("string")), " "))
     listed = F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("n"), F.col("url").alias("url"), entry.alias("entry"))))
     return rows.groupBy("token", "part").agg(F.array_join(F.transform(listed, lambda e: e["entry"]), ",").alias("targets"))

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import html as H
+from ..functions import text as T
 from ..functions import urls as U
 from ..operators.skew import join_by_key
 from ..session import cut_lineage
@@ -104,6 +105,12 @@ def ranking(ranks: DataFrame) -> DataFrame:
     )
 
 
+def pagerank_lines(spark, sf):
+    """The ranking as it is printed: the place, the host in a column of its own, the rank with eight digits."""
+    line = F.concat(T.padded(F.concat("place", F.lit(".")), 6), T.padded(F.col("host"), 50), T.fixed(F.col("rank"), 8))
+    return pagerank_report(spark, sf).select("place", line.alias("line"))
+
+
 def _trade(spark, sf) -> tuple[DataFrame, DataFrame]:
     """Customers, linked to the suppliers of their orders and to whoever ordered next."""
     orders, lines = table(spark, sf, "orders"), table(spark, sf, "lineitem")
@@ -171,14 +178,16 @@ _HOSTS = f"""{_GRAPH},
 e as ({_LINKS}), g0 as (select distinct src as host from p), n as (select count(*)::double as n from g0),
 g as (select g0.host, coalesce(d, 0) as d from g0 left join (select src, count(*) as d from e group by src) on src = g0.host),
 r0 as (select host, 1.0::double / n as rank from g, n)"""
-QUERIES = {f.__name__: f for f in (pagerank_k5, pagerank_hosts, pagerank_hosts_k3, pagerank_graph, pagerank_report)}
+_REPORT = r"""with r as (select lower(x.host) as host, x.rank as rank from (select unnest([{'host': host, 'rank': rank}, {'host': 'www.reddit.com', 'rank': rank}, {'host': 'en.wikipedia.org', 'rank': rank}]) as x from pt_pageranks where host is not null)),
+w as (select case when regexp_matches(host, '\.(wikipedia|wikibooks|wikiquote|wikinews|wikivoyage|wikiversity|wikidata|wikimedia|wiktionary)\.org$') then 'wiki family' else host end as host,
+  (rank * case when host = 'x.com' or regexp_matches(host, '^(www\.)?(facebook|instagram|linkedin|pinterest|reddit|tiktok|twitter|youtube)\.com$') then 0.1::double else 1.0::double end)::decimal(38,16) as rank from r where rank is not null),
+s as (select host, round(sum(rank)::double, 8) as rank from w group by host)
+select row_number() over (order by rank desc, host)::bigint as place, host, rank from s order by rank desc, host limit 1000"""
+QUERIES = {f.__name__: f for f in (pagerank_k5, pagerank_hosts, pagerank_hosts_k3, pagerank_graph, pagerank_report, pagerank_lines)}
 SQL = {
     "pagerank_k5": _rounds(5),
     "pagerank_graph": f"with {_GRAPH} {_LINKS}",
     "pagerank_hosts_k3": _rounds(3, _HOSTS),
-    "pagerank_report": r"""with r as (select lower(x.host) as host, x.rank as rank from (select unnest([{'host': host, 'rank': rank}, {'host': 'www.reddit.com', 'rank': rank}, {'host': 'en.wikipedia.org', 'rank': rank}]) as x from pt_pageranks where host is not null)),
-w as (select case when regexp_matches(host, '\.(wikipedia|wikibooks|wikiquote|wikinews|wikivoyage|wikiversity|wikidata|wikimedia|wiktionary)\.org$') then 'wiki family' else host end as host,
-  (rank * case when host = 'x.com' or regexp_matches(host, '^(www\.)?(facebook|instagram|linkedin|pinterest|reddit|tiktok|twitter|youtube)\.com$') then 0.1::double else 1.0::double end)::decimal(38,16) as rank from r where rank is not null),
-s as (select host, round(sum(rank)::double, 8) as rank from w group by host)
-select row_number() over (order by rank desc, host)::bigint as place, host, rank from s order by rank desc, host limit 1000""",
+    "pagerank_report": _REPORT,
+    "pagerank_lines": f"select place, place || '.' || repeat(' ', greatest(0, 5 - length(place::varchar))) || host || repeat(' ', greatest(0, 50 - length(host))) || printf('%.8f', rank) as line from ({_REPORT})",
 }
