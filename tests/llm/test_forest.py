@@ -99,3 +99,12 @@ def test_crowded_regions_go_whole(monkeypatch):
         found = [r for b in P._regions(batches, most) for r in b.to_pylist()]
         assert {(r["a"], r["b"]) for r in found if r["key"] is None} == want
         assert sorted((r["key"], r["a"]) for r in found if r["key"] is not None) == rows
+
+
+def test_copies_of_a_large_class(spark, monkeypatch):
+    monkeypatch.setattr(P, "COPIES", 7)
+    rows = [(i, f"u{i % 50}", 0) for i in range(100)] + [(200, "a", 200), (201, "b", 200), (202, "b", 200), (203, "c", 203)]
+    got = [tuple(r) for r in P.copy_pairs(spark.createDataFrame(rows, "crawl_id bigint, url string, id bigint")).collect()]
+    want = {(a, b) for a, u, i in rows for b, v, j in rows if a < b and u != v and i == j}
+    assert len(got) == len(set(got)) and set(got) == want
+    assert P.copy_pairs(spark.createDataFrame([], "crawl_id bigint, url string, id bigint")).count() == 0

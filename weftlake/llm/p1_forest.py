@@ -27,6 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.skew import join_by_key
 from ..session import cut_lineage, ship_package
 from ..sources.tables import table
 from .mainbody import main_blocks
@@ -40,6 +41,8 @@ POOL, TREES, PREFIX, DEEPER = 128, 64, 4, 4
 REGION = 64
 #: Classes of a chunk of a crowded region, on average.
 CHUNK = 1000
+#: Members of a chunk of a class of equal pages, on average.
+COPIES = 1000
 #: Entries of one key that a task holds before it cuts them at a longer prefix.
 HELD = 1_000_000
 #: Values compared by the sketch, and the agreement a candidate must reach: the
@@ -385,6 +388,23 @@ def _low_bytes(column: str):
     return F.concat(*even)
 
 
+def copy_pairs(members: DataFrame) -> DataFrame:
+    """Pairs ``crawl_a, crawl_b`` of members ``(crawl_id, url, id)`` of one class with different urls.
+
+    A class is dealt into chunks of about COPIES members, any two of which meet
+    under a key of their own, so that no task has all pairs of a large class.
+    """
+    sizes = members.groupBy("id").agg(F.count(F.lit(1)).alias("n"))
+    named = join_by_key(members, sizes.select("id", F.ceil(F.col("n") / COPIES).alias("parts")), sizes, "id")
+    dealt = named.withColumn("chunk", F.pmod(F.xxhash64("crawl_id"), F.col("parts")))
+    upwards = F.explode(F.sequence("chunk", F.col("parts") - 1)).alias("y")
+    downwards = F.explode(F.sequence(F.lit(0).cast("bigint"), "chunk")).alias("x")
+    one = dealt.select("id", F.col("chunk").alias("x"), upwards, F.col("crawl_id").alias("crawl_a"), F.col("url").alias("url_a"))
+    two = dealt.select("id", downwards, F.col("chunk").alias("y"), F.col("crawl_id").alias("crawl_b"), F.col("url").alias("url_b"))
+    met = one.join(two, ["id", "x", "y"]).where("url_a <> url_b and (x < y or crawl_a < crawl_b) and crawl_a <> crawl_b")
+    return met.select(F.least("crawl_a", "crawl_b").alias("crawl_a"), F.greatest("crawl_a", "crawl_b").alias("crawl_b"))
+
+
 def similar_pages(crawl: DataFrame) -> DataFrame:
     """Pairs of rows with different urls and similar main bodies: ``crawl_a < crawl_b``."""
     sets = cut_lineage(page_sets(crawl))
@@ -392,7 +412,7 @@ def similar_pages(crawl: DataFrame) -> DataFrame:
     pairs = cut_lineage(pairs)
     one = members.toDF("crawl_a", "url_a", "a")
     two = members.toDF("crawl_b", "url_b", "b")
-    copies = one.join(two, F.col("a") == F.col("b")).where("crawl_a < crawl_b and url_a <> url_b")
+    copies = copy_pairs(members)
     edited = pairs.join(one, "a").join(two, "b").where("url_a <> url_b and crawl_a <> crawl_b")
     return (
         copies.select("crawl_a", "crawl_b")
