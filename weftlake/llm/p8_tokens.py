@@ -28,7 +28,8 @@ import ahocorasick
 import numpy as np
 import pyarrow as pa
 import regex
-from pyspark.sql import DataFrame
+from pyspark import SparkFiles
+from pyspark.sql import DataFrame, SparkSession
 
 from ..session import ship_package, spread
 from ..sources.tables import table
@@ -170,6 +171,15 @@ def vocabulary(folder: str = TOKENIZERS, name: str = VOCABULARY) -> Bpe:
     return Bpe([t for _, t in ranked])
 
 
+def _sent(spark: SparkSession, folder: str, name: str) -> None:
+    """Send a vocabulary file, of a megabyte or so, along with the job; workers have it in :func:`_received`."""
+    spark.sparkContext.addFile(str(Path(folder, f"{name}.tiktoken")))
+
+
+def _received(name: str) -> Bpe:
+    return vocabulary(SparkFiles.getRootDirectory(), name)
+
+
 def _ids(batch: pa.RecordBatch, bpe: Bpe) -> Iterator[pa.RecordBatch]:
     ids, sizes, start, chars = [], [], 0, 0
     texts = batch.column("text").to_pylist()
@@ -190,9 +200,10 @@ def _ids(batch: pa.RecordBatch, bpe: Bpe) -> Iterator[pa.RecordBatch]:
 def token_ids(documents: DataFrame, folder: str = TOKENIZERS, name: str = VOCABULARY) -> DataFrame:
     """``doc_id`` and ``ids`` of every row of ``documents (doc_id, text)``."""
     ship_package(documents.sparkSession)
+    _sent(documents.sparkSession, folder, name)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe = vocabulary(folder, name)
+        bpe = _received(name)
         for batch in batches:
             if batch.num_rows:
                 yield from _ids(batch, bpe)
@@ -203,9 +214,10 @@ def token_ids(documents: DataFrame, folder: str = TOKENIZERS, name: str = VOCABU
 def token_texts(encoded: DataFrame, folder: str = TOKENIZERS, name: str = VOCABULARY) -> DataFrame:
     """``doc_id`` and ``text`` of ``encoded (doc_id, ids)``; null ids give a null text."""
     ship_package(encoded.sparkSession)
+    _sent(encoded.sparkSession, folder, name)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe = vocabulary(folder, name)
+        bpe = _received(name)
         for batch in batches:
             texts = [None if x is None else bpe.decode(np.array(x, int)) for x in batch.column("ids").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(texts, pa.string())], ["doc_id", "text"])
