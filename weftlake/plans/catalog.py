@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import crawl, datasets, hot, indexes, pagerank, quality, scalars, search, tables
+from . import crawl, datasets, hot, indexes, pagerank, quality, scalars, search, streams, tables
 
-_MODULES = (hot, datasets, tables, scalars, indexes, quality, pagerank, search, crawl)
+_MODULES = (hot, datasets, tables, scalars, indexes, quality, pagerank, search, crawl, streams)
 
 
 def queries() -> dict:
