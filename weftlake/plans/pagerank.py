@@ -53,18 +53,17 @@ def pagerank(
     n = hosts.count()
     if not n:
         return hosts.select("host", F.lit(0.0).alias("rank"))
-    links = cut_lineage(_adjacency(hosts, edges))
-    ranks = links.where("first").select("host", "n", F.lit(1.0 / n).alias("rank"))
-    base, zero = (1 - damping) / n, F.lit(0).cast(_EXACT)
+    links, degree = _adjacency(hosts, edges)
+    nodes = hosts.join(degree, hosts.host == degree.src, "left").select("host", F.coalesce("n", F.lit(0).cast("bigint")).alias("n"))
+    ranks = cut_lineage(nodes.withColumn("rank", F.lit(1.0 / n)))
+    base, none = (1 - damping) / n, F.lit(None).cast("bigint")
     for step in range(rounds):
         lost = ranks.where("n = 0").agg(F.coalesce(F.sum(F.col("rank").cast(_EXACT)), F.lit(0)).cast("double")).scalar()
-        part = (F.col("rank") / F.greatest("n", F.lit(1))).cast(_EXACT)
-        own = F.struct("host", F.col("n").alias("own"), zero.alias("part"))
-        given = F.transform("targets", lambda t: F.struct(t.alias("host"), F.lit(None).cast("bigint").alias("own"), part.alias("part")))
-        sent = links.join(ranks.select("host", "rank"), "host").select(F.inline(F.when(F.col("first"), F.array_append(given, own)).otherwise(given)))
-        got = sent.groupBy("host").agg(F.max("own").alias("n"), F.sum("part").cast("double").alias("got"))
-        rank = F.round(F.lit(base) + F.lit(damping) * (F.col("got") + lost / n), 8).alias("rank")
-        new = cut_lineage(got.select("host", "n", rank))
+        part = ranks.where("n > 0").select("host", (F.col("rank") / F.col("n")).cast(_EXACT).alias("part"))
+        sent = links.join(part, "host").select(F.explode("targets").alias("host"), none.alias("n"), "part")
+        own = ranks.where("n is not null").select("host", "n", F.lit(0).cast(_EXACT).alias("part"))
+        got = sent.union(own).groupBy("host").agg(F.max("n").alias("n"), F.sum("part").cast("double").alias("got"))
+        new = cut_lineage(got.select("host", "n", F.round(F.lit(base) + F.lit(damping) * (F.col("got") + lost / n), 8).alias("rank")))
         if tolerance is not None and step:
             old = ranks.select("host", F.col("rank").alias("old"))
             change = new.join(old, "host").agg(F.sum(F.abs(F.col("rank") - F.col("old")))).first()[0] or 0.0
@@ -75,19 +74,13 @@ def pagerank(
     return ranks.select("host", "rank")
 
 
-def _adjacency(hosts: DataFrame, edges: DataFrame) -> DataFrame:
-    """``host, n, first, targets``: the ``n`` link targets of each host, in rows of about TARGETS; ``first`` is true in one of them."""
-    edges = edges.join(hosts.select(F.col("host").alias("src")), "src", "left_semi")
+def _adjacency(hosts: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``host, targets``: the link targets of each host in rows of about TARGETS; and ``src, n``, how many each has."""
+    edges = cut_lineage(edges.join(hosts.select(F.col("host").alias("src")), "src", "left_semi"))
     degree = cut_lineage(edges.groupBy("src").agg(F.count(F.lit(1)).alias("n")))
-    rows = F.ceil(F.col("n") / TARGETS)
-    dealt = join_by_key(edges, degree, degree, "src").withColumn("row", F.pmod(F.xxhash64("dst"), rows))
-    listed = dealt.groupBy(F.col("src").alias("host"), "n", "row").agg(F.collect_list("dst").alias("targets"))
-    least = listed.groupBy("host").agg(F.min("row").alias("least"))
-    known = listed.join(least, "host").select("host", "n", (F.col("row") == F.col("least")).alias("first"), "targets")
-    none = hosts.join(degree, hosts.host == degree.src, "left_anti")
-    return known.unionByName(
-        none.select("host", F.lit(0).cast("bigint").alias("n"), F.lit(True).alias("first"), F.array().cast("array<string>").alias("targets"))
-    )
+    rows = join_by_key(edges, degree, degree, "src").withColumn("row", F.pmod(F.xxhash64("dst"), F.ceil(F.col("n") / TARGETS)))
+    listed = rows.groupBy(F.col("src").alias("host"), "row").agg(F.collect_list("dst").alias("targets"))
+    return cut_lineage(listed.select("host", "targets")), degree
 
 
 def ranking(ranks: DataFrame) -> DataFrame:
