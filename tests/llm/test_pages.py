@@ -167,6 +167,20 @@ def test_languages(spark):
     assert len(network.probabilities([])) == 0 and abs(network.probabilities(["x" * 100_000]).sum() - 1) < 1e-6
 
 
+def test_segments_of_all_blocks(spark):
+    text, lang = lines()
+    network = p5_language.ByteCnn(["de", "en"]).fit(*zip(*[(t, x) for t, x in zip(text, lang) if x in ("de", "en")]), steps=200)
+    blocks = ["Startseite", "wir müssen nicht", "What is it that she wants. And when will he be back", "1 + 2. 3", "7", "Ja! " * 300 + "Nein!"]
+    html = "".join(f"<p>{b}</p>" for b in blocks)
+    found = p5_language.language_segments(crawl(spark, [(1, "u", html), (2, "u", "<p></p>"), (None, "u", html)]), network).orderBy("crawl_id", "block_no", "start").collect()
+    assert {r.crawl_id for r in found} == {1}
+    for n, block in enumerate(blocks):
+        own = [r for r in found if r.block_no == n]
+        assert own[0].start == 0 and own[-1].end == len(block) and all(a.end == b.start for a, b in zip(own, own[1:]))
+    assert [(r.block_no, r.lang, r.confidence) for r in found if r.lang is None] == [(3, None, 0.0), (4, None, 0.0)]
+    assert all(0.5 <= r.confidence <= 1 for r in found if r.lang and len(blocks[r.block_no]) > 40)
+
+
 def test_pages_without_repeated_lines(spark):
     html = lambda own: f"<p>Menu</p><p>{own}</p><p>Shared by all</p><p>Page 7</p>"
     rows = [(i, f"http://h/{i}", html(f"only {w}")) for i, w in enumerate("abcdef")]

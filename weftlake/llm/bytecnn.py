@@ -63,7 +63,7 @@ class ByteCnn:
         pooled = []
         for w in WIDTHS:
             patches = self._patches(x, w)
-            answers = (patches @ self.p[f"w{w}"]).reshape(len(x), WINDOW - w + 1, FILTERS)
+            answers = (patches @ self.p[f"w{w}"]).reshape(len(x), x.shape[1] - w + 1, FILTERS)
             if keep is None:
                 top = answers.max(axis=1)
             else:
@@ -141,11 +141,20 @@ class ByteCnn:
         return raw[start : start + length].ljust(WINDOW, b"\0")
 
     def probabilities(self, texts: Sequence[str]) -> np.ndarray:
-        """Class probabilities of each text: the normed geometric mean over its windows."""
+        """Class probabilities of each text: the normed geometric mean over its windows.
+
+        Short windows go together and are cut behind the first filters that see
+        nothing but their filling, as further ones would answer the same.
+        """
         if not len(texts):
             return np.zeros((0, len(self.classes)), np.float32)
         x, owner = windows(texts)
-        p = np.concatenate([self._forward(x[i : i + 256]) for i in range(0, len(x), 256)])
+        size = WINDOW - (x[:, ::-1] != 0).argmax(axis=1)
+        order = np.argsort(size, kind="stable")
+        p = np.empty((len(x), len(self.classes)), np.float32)
+        for i in range(0, len(x), 256):
+            own = order[i : i + 256]
+            p[own] = self._forward(x[own, : min(WINDOW, size[own[-1]] + max(WIDTHS))])
         logs = np.zeros((len(texts), len(self.classes)))
         np.add.at(logs, owner, np.log(p + 1e-9))
         logs /= np.bincount(owner, minlength=len(texts))[:, None]

@@ -1,16 +1,18 @@
 """p5: the language of each text block of a page, with a confidence.
 
 A byte convolutional network, trained on labelled samples when a query starts,
-judges every block that is a sentence or more, whatever part of the page it
-stands in.  A block's probabilities are those of its fixed-length windows put
-together; its confidence is the highest of them.  Pages are judged one by one,
-the network travels to the workers, nothing is shuffled.  A page's language is
-that of most of its judged text; blocks in other languages make it mixed.
-
-Rows with null ``crawl_id`` or null or empty page, and blocks of fewer than
-eight space-separated words or without an end of sentence, give no rows;
-repeated rows come out as often as they stand in the table; equal texts get
-equal answers.  Further columns are ignored.
+judges blocks, whatever part of the page they stand in: for p5_found those that
+are a sentence or more, for p5_pages those with a letter, for p5_segments all.
+A block's probabilities are those of its fixed-length windows put together; its
+confidence is the highest of them.  Pages are judged one by one, the network
+travels to the workers, nothing is shuffled.  A page's language is that of most
+of its judged text; blocks in other languages make it mixed.
+
+Rows with null ``crawl_id`` or null or empty page give no rows; nor do, in
+p5_found, blocks of fewer than eight space-separated words or without an end of
+sentence.  To p5_segments a block without a letter is one segment of no language
+(null) and confidence 0.  Repeated rows come out as often as they stand in the
+table; equal texts get equal answers.  Further columns are ignored.
 """
 
 from __future__ import annotations
@@ -123,28 +125,35 @@ def segments(logs: np.ndarray, sizes: list[int]) -> list[tuple[int, int, int, fl
     """Segments ``(first, after last, class, confidence)`` of sentences with these log-probabilities and lengths.
 
     The best sequence of classes, where each change costs; a segment's
-    confidence is the mean probability of its class, by length.
+    confidence is the mean probability of its class, by length.  Where one class
+    is likeliest in all sentences, no sequence is better than that class alone.
     """
-    best, back = logs[0], []
-    for own in logs[1:]:
-        came = np.where(best >= best.max() + CHANGE, np.arange(len(best)), best.argmax())
-        back.append(came)
-        best = own + np.maximum(best, best.max() + CHANGE)
-    path = [int(best.argmax())]
-    for came in reversed(back):
-        path.append(int(came[path[-1]]))
-    path.reverse()
+    path = logs.argmax(axis=1).tolist()
+    if path.count(path[0]) < len(path):
+        best, back = logs[0], []
+        for own in logs[1:]:
+            came = np.where(best >= best.max() + CHANGE, np.arange(len(best)), best.argmax())
+            back.append(came)
+            best = own + np.maximum(best, best.max() + CHANGE)
+        path = [int(best.argmax())]
+        for came in reversed(back):
+            path.append(int(came[path[-1]]))
+        path.reverse()
     out, start = [], 0
     for i in range(1, len(path) + 1):
         if i == len(path) or path[i] != path[start]:
-            sure = np.average(np.exp(logs[start:i, path[start]]), weights=sizes[start:i])
+            own = np.exp(logs[start:i, path[start]])
+            sure = own[0] if len(own) == 1 else np.average(own, weights=sizes[start:i])
             out.append((start, i, path[start], float(sure)))
             start = i
     return out
 
 
-def language_segments(crawl: DataFrame, network: ByteCnn, judged: Callable[[str], bool] = is_judged) -> DataFrame:
-    """``crawl_id, block_no, start, end, lang, confidence``: stretches of one language, by characters of their block."""
+def language_segments(crawl: DataFrame, network: ByteCnn) -> DataFrame:
+    """``crawl_id, block_no, start, end, lang, confidence``: stretches of one language, by characters of their block.
+
+    The segments of every block cover it whole, however short it is.
+    """
     spark = crawl.sparkSession
     ship_package(spark)
     held = spark.sparkContext.broadcast(network)
@@ -152,18 +161,19 @@ def language_segments(crawl: DataFrame, network: ByteCnn, judged: Callable[[str]
     def work(batch: pa.RecordBatch) -> pa.RecordBatch:
         _, pages = parsed(batch)
         ids = batch.column("crawl_id").to_pylist()
-        places = [(ids[i], n, b.text) for i, blocks in enumerate(pages) for n, b in enumerate(blocks) if judged(b.text)]
-        ends = {t: [*(m.end() for m in _SENTENCE_END.finditer(t)), len(t)] for *_, t in places}
+        places = [(ids[i], n, b.text) for i, blocks in enumerate(pages) for n, b in enumerate(blocks)]
+        ends = {t: [*(m.end() for m in _SENTENCE_END.finditer(t)), len(t)] for t in dict.fromkeys(t for *_, t in places) if has_letter(t)}
         cut = {t: [t[a:b] for a, b in zip([0, *e], e)] for t, e in ends.items()}
         at: dict[str, int] = {}
         for parts in cut.values():
             for part in parts:
                 at.setdefault(part, len(at))
         logs = np.log(held.value.probabilities(list(at)) + 1e-9)
-        found = {t: segments(logs[[at[p] for p in parts]], [len(p) for p in parts]) for t, parts in cut.items()}
-        rows = [
-            (i, n, ends[t][a - 1] if a else 0, ends[t][b - 1], held.value.classes[k], sure) for i, n, t in places for a, b, k, sure in found[t]
-        ]
+        found = {}
+        for t, parts in cut.items():
+            own = segments(logs[[at[p] for p in parts]], [len(p) for p in parts])
+            found[t] = [(ends[t][a - 1] if a else 0, ends[t][b - 1], held.value.classes[k], sure) for a, b, k, sure in own]
+        rows = [(i, n, *s) for i, n, t in places for s in found.get(t) or [(0, len(t), None, 0.0)]]
         columns = list(zip(*rows)) or [[]] * 6
         kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.float64()]
         names = ["crawl_id", "block_no", "start", "end", "lang", "confidence"]
