@@ -229,3 +229,12 @@ def test_garbled_table(spark):
     assert sorted(r.doc_id for r in found) == [1, 1, 5] and found[0].restored == "schöne Häuser" and found[0].pairs == ["utf_8>cp1252"]
     assert p10_garbled.garbled(docs(spark, []), model).count() == 0
     assert p10_garbled.train(spark.createDataFrame([], "sample_id bigint, text string")).score("é", " ") < 0
+
+
+def test_characters_of_all_samples(spark):
+    texts = [None, "", *(f"Ab {chr(0x4E00 + i % 7)} é" for i in range(5_200)), "ΑΣ Ѐ日 \x00😀"]
+    samples = spark.createDataFrame([(i, t, "x") for i, t in enumerate(texts)], "sample_id int, text string, lang string").repartition(3)
+    model = p10_garbled.train(samples)
+    want = p10_garbled.CharacterModel([*filter(None, texts), "", *p10_garbled.CENTRAL * p10_garbled.CENTRAL_WEIGHT])
+    assert model.one == want.one and model.two == want.two
+    assert model.two[("ѐ", "日")] == 1.0 and "😀" in model.one

@@ -29,7 +29,7 @@ import math
 import re
 import unicodedata
 from collections import Counter
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterable, Iterator, Mapping
 from typing import NamedTuple
 
 import pyarrow as pa
@@ -39,8 +39,6 @@ from pyspark.sql import functions as F
 from ..session import ship_package, spread
 from ..sources.tables import table
 
-#: Clean labelled texts that the character model is trained on at most.
-SAMPLE_ROWS = 5_000
 #: Encodings that UTF-8 was read in.
 READERS = ("cp1252", "cp1250", "cp1251", "cp437", "cp850", "mac_roman", "koi8_r", "gbk")
 #: (encoding of the text, encoding it was read in) where neither is UTF-8.
@@ -253,22 +251,31 @@ def _drawn(c: str) -> bool:
     return "\u2190" <= c <= "\u25ff"
 
 
+def character_counts(texts: Iterable[str]) -> Counter:
+    """How often the folded texts, each behind a space, hold each character and each two characters in a row."""
+    out: Counter = Counter()
+    for t in texts:
+        t = " " + t.lower()
+        out.update(t)
+        out.update(map("".join, zip(t, t[1:])))
+    return out
+
+
 class CharacterModel:
-    """Bigrams of folded characters, with what case and rare characters cost."""
+    """Bigrams of folded characters, with what case and rare characters cost.
+
+    Trained on ``texts`` and on the ``counts`` that :func:`character_counts` gives of others.
+    """
 
     #: Pairs of characters of which the likelihood is remembered at most.
     KEPT = 200_000
 
-    def __init__(self, texts: Iterable[str]) -> None:
-        one: Counter = Counter()
-        two: Counter = Counter()
-        for t in texts:
-            t = " " + t.lower()
-            one.update(t)
-            two.update(zip(t, t[1:]))
-        total = sum(one.values()) or 1
-        self.one = {c: n / total for c, n in one.items()}
-        self.two = {p: n / one[p[0]] for p, n in two.items()}
+    def __init__(self, texts: Iterable[str], counts: Mapping[str, int] | None = None) -> None:
+        held = character_counts(texts)
+        held.update(counts or {})
+        total = sum(n for c, n in held.items() if len(c) == 1) or 1
+        self.one = {c: n / total for c, n in held.items() if len(c) == 1}
+        self.two = {(p[0], p[1]): n / held[p[0]] for p, n in held.items() if len(p) == 2}
         self._known: dict[tuple[str, str], float] = {}
 
     def step(self, last: str, c: str) -> float:
@@ -496,9 +503,21 @@ def _better(a: tuple | None, b: tuple) -> tuple:
 
 
 def train(samples: DataFrame) -> CharacterModel:
-    """The character model of at most SAMPLE_ROWS clean texts of ``samples (sample_id, text)``."""
-    rows = samples.where("text is not null").orderBy("sample_id").select("text").limit(SAMPLE_ROWS).collect()
-    return CharacterModel([*(r.text for r in rows), *CENTRAL * CENTRAL_WEIGHT])
+    """The character model of all clean texts of ``samples (text)``.
+
+    They are counted where they lie; only the counts, of as many distinct pairs
+    of characters as there are, come to the driver.
+    """
+    ship_package(samples.sparkSession)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            own = character_counts(batch.column("text").to_pylist())
+            yield pa.RecordBatch.from_arrays([pa.array(list(own), pa.string()), pa.array(list(own.values()), pa.int64())], ["chars", "n"])
+
+    counts = samples.select("text").where("text is not null").mapInArrow(run, "chars string, n bigint")
+    rows = counts.groupBy("chars").agg(F.sum("n").alias("n")).collect()
+    return CharacterModel(CENTRAL * CENTRAL_WEIGHT, {r.chars: r.n for r in rows})
 
 
 def garbled(documents: DataFrame, model: CharacterModel) -> DataFrame:
